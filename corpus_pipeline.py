@@ -1,8 +1,69 @@
-"""Corpus pipeline (stages follow with their operators)."""
+"""Corpus pipeline: quality, near duplicates, benchmark passages, personal data, pieces.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all documents that the stage before kept; all but the last return the columns
+of ``documents``. No stage can be expressed in SQL as a whole (trained models), so ORACLE_SQL is None.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tastegraph.llm import classify, decontaminate, neardup, pieces, pii
+from tastegraph.llm.frames import bucket, checkpointed, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject (score of 0.3 at least)."""
+    model = classify.fit(docs, table(spark, sf_dir, "labels"), classify.QUALITY, bucket("doc_id", 5) != 0)
+    return classify.score(docs, model, classify.QUALITY, output="_quality").where("_quality >= 0.3").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8): the least id, and of its rows the first by text.
+
+    A null id stands for the text's hash below zero, so that documents without an id take part."""
+    own = F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62)))
+    rows = docs.withColumn("_id", own)
+    found = neardup.groups(rows, n=5, percent=80, id_column="_id").where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
+    return rows.join(found, "_id", "left_semi").withColumn("_row", first).where("_row = 1").select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in benchmark windows."""
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where(~decontaminate.contaminated()).select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets (n_chars follows the new text)."""
+    out = pii.annotate(docs, redact=True).drop("base_spans", "pii_spans")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids, round_trip."""
+    return pieces.encode(docs.select("doc_id", "text")).select("doc_id", "ids", "n_ids", "round_trip")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminated),
+    ("personal_data", personal_data),
+    ("pieces", tokens),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written to the checkpoint folder before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if name == STAGES[-1][0] else checkpointed(docs)
+    return docs

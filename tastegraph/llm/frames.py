@@ -40,3 +40,13 @@ def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[I
 def position(df: DataFrame, name: str) -> int:
     """Where a column stands (names in any case, the first if several)."""
     return [x.lower() for x in df.columns].index(name.lower())
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir, its lineage cut; that folder is set here only if the session has none (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()

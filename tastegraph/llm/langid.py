@@ -29,6 +29,8 @@ from .words import chunks, texts
 
 BUCKETS = 4096
 MAX_ROWS = 4_000
+#: Languages that are learnt, the most frequent first; it bounds the broadcast of their counts.
+MAX_LANGS = 1_024
 #: Lower-cased ASCII letters, bytes of other scripts as they are, everything else 32.
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = _LETTER[65:91] = np.arange(97, 123)
@@ -106,9 +108,9 @@ def fit(docs: DataFrame, learn: Column | None = None, id_column: str = "doc_id",
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.select(F.col(lang_column).alias("_lang"), F.col(text_column).alias("_text"), F.xxhash64(F.col(id_column).cast("string")).alias("_order"))
-    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS)
     of = max(1, counts.count())
-    sample = rows.join(counts, "_lang").where(F.pmod(F.col("_order"), F.lit(1 << 30)) < F.lit(float(max_rows) / of * (1 << 30)) / F.col("_n")).select("_lang", "_order", "_text")
+    sample = rows.join(F.broadcast(counts), "_lang").where(F.pmod(F.col("_order"), F.lit(1 << 30)) < F.lit(float(max_rows) / of * (1 << 30)) / F.col("_n")).select("_lang", "_order", "_text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
