@@ -8,12 +8,15 @@ sequence as one). Two documents are linked if ``100 * |A and B| >= percent * |A
 2. Tensored banding: the first 16 minhashes are two collections of 8, and the 64 table keys of a class are the pairs of one from each.
    A pair of likeness s shares no key with probability at most 2 (1 - s)**8: 5e-6 at 0.8, far less above, from 16
    minhashes instead of 128. All 32 give a sketch of 8 bits each; fewer than 13 equal ones exclude likeness 0.8 (3e-7).
-3. No bucket emits all its pairs. Every member is linked to the bucket's least, greatest and a hash-chosen member (grouped aggregates,
-   combined before the shuffle); sizes and sketches sift the pairs, and sets confirm them. Buckets of up to three are then complete.
-4. Larger buckets whose members are not yet all in one component (rare: chance meetings, chains of copies) compare the remaining
-   members of different components only, under the same sieve inside the join, and confirm again. So no
-   candidate pair that could still join two components is left out.
-5. Components by large-star and small-star rounds, all distributed.
+3. No bucket emits all its pairs. Every member is paired with its bucket's centre, the member that meets most others over all buckets (grouped
+   sums and maxima, combined before the shuffle), so a family of near copies has one centre nearly everywhere. Sizes and sketches sift
+   the pairs, and full sets confirm them. Buckets of two are then complete.
+4. Families of near copies gather around hubs: a class's hub is the best connected of its sifted partners. Where a hub's
+   family isn't one component yet (members just too far from the hub may be near one another), its members' sets are compared in blocks of bounded
+   size by one matrix product each, which yields only confirmed links between components.
+5. What remains in buckets of three or more - members of different components and different hubs - is compared pair by pair under the same
+   sieve inside the join, and confirmed. So no candidate pair that could still join two components is left out.
+6. Components by large-star and small-star rounds, all distributed.
 
 Defined cases: null and empty texts, and those of white space only, have no shingles and are linked with nothing; rows of one doc_id are one document
 (each row gets its result); rows with a null doc_id get a null component and are kept; equal texts always share a component; extra columns are
@@ -62,7 +65,9 @@ def sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield shingles(words.hashes[words.bounds[d] : words.bounds[d + 1]], n)
 
 
-_PROFILE = "doc_id long, n_shingles long, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, bands binary"
+_SKETCH = [f"s{i}" for i in range(4)]  # 32 minhashes of 8 bits
+_BANDS = [f"b{i}" for i in range(HALF)]  # the two collections, two minhashes of 32 bits in each
+_NAMES = ["doc_id", "n_shingles", "h1", "h2", *_SKETCH, *_BANDS]
 
 
 def profiles(docs: DataFrame, n: int) -> DataFrame:
@@ -77,13 +82,12 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
                 sign.append((int(found.sum(dtype=np.uint64)), int(low.sum(dtype=np.uint64))))
                 m = minhashes(found)
                 sketch.append((m >> U(24)).astype(np.uint8).view(np.int64))
-                bands.append((m[: 2 * HALF] >> U(32)).astype(np.uint32).tobytes())
+                bands.append((m[: 2 * HALF] >> U(32)).astype(np.uint32).view(np.int64))
             sign = np.array(sign, np.uint64).reshape(-1, 2).view(np.int64)
-            sketch = np.array(sketch, np.int64).reshape(-1, 4)
-            columns = [batch.column(0), pa.array(size, pa.int64()), *(pa.array(sign[:, i]) for i in range(2)), *(pa.array(sketch[:, i]) for i in range(4)), pa.array(bands, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "s0", "s1", "s2", "s3", "bands"])
+            rest = np.concatenate([sign, np.array(sketch, np.int64).reshape(-1, 4), np.array(bands, np.int64).reshape(-1, HALF)], 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], _NAMES)
 
-    return docs.mapInArrow(run, _PROFILE)
+    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in _NAMES))
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -93,13 +97,13 @@ def table_keys(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                m = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, 2, HALF).astype(np.uint64)
+                m = np.ascontiguousarray(np.stack([part.column(1 + i).to_numpy() for i in range(HALF)], 1)).view(np.uint32).reshape(-1, 2, HALF).astype(np.uint64)
                 place = np.arange(HALF, dtype=np.uint64)
                 left, right = W.mix(m[:, 0] << U(8) | place), W.mix(m[:, 1] << U(8) | place + U(HALF))
                 keys = W.mix(left[:, :, None] + right[:, None, :] * U(0xD6E8FEB86659FD93)).reshape(len(m), -1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), HALF * HALF))], ["key", "node"])
 
-    return classes.select("node", "bands").mapInArrow(run, "key long, node long")
+    return classes.select("node", *_BANDS).mapInArrow(run, "key long, node long")
 
 
 def _equal(a: str, b: str) -> Column:
@@ -124,12 +128,54 @@ def _prefixed(classes: DataFrame, p: str, *more: str) -> DataFrame:
     return classes.select(F.col("node").alias(p), *[F.col(c).alias(p + c) for c in ("n", "s0", "s1", "s2", "s3", *more)])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b; ids of documents) whose full sets are alike enough."""
+#: Bits of the largest filter that is broadcast: 8 MB. Beyond some millions of wanted ids it lets more and more through, which the join drops.
+FILTER_BITS = 1 << 26
+
+
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    """Three places of each id in a filter of ``size`` bits (a power of two)."""
+    h = W.mix(ids.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, 4, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+    return (h & U(size - 1)).astype(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``doc_id``: words are joined by grouped OR, so at most FILTER_BITS / 64 rows reach the driver."""
+    size = 1 << 10
+    count = ids.count()
+    while size < min(16 * count, FILTER_BITS):
+        size *= 2
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy(), size).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    got = ids.select("doc_id").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _full(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, set) of the documents in the column doc_id of ``ids``, and of a few others.
+
+    Texts aren't shuffled: a bounded Bloom filter of the ids picks the texts whose sets are made; joins on node drop the rest."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(ids))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets(batch.column(1), n)], pa.binary())], ["node", "set"])
+            at = _bits(batch.column(0).fill_null(0).to_numpy(), len(some) << 6)
+            maybe = ((some[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).all(1) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(maybe))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets(batch.column(1), n)], pa.binary())], ["node", "set"])
+
+    return docs.mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b; ids of documents) whose full sets are alike enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,38 +191,111 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    full = docs.join(wanted, "doc_id", "left_semi").mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
+    full = _full(wanted, docs, n)
     with_a = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(full.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
+def hubs(pairs: DataFrame) -> DataFrame:
+    """(node, hub) of every node in pairs: the one with most pairs among itself and its partners (ties: the least id)."""
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    best = F.max(F.struct("d", (-F.col("other")).alias("id")))
+    partner = both.join(degree.withColumnRenamed("node", "other"), "other").groupBy("node").agg(best.alias("p"))
+    own = F.struct(F.col("d"), (-F.col("node")).alias("id"))
+    return partner.join(degree, "node").select("node", (-F.greatest("p", own)["id"]).alias("hub"))
+
+
+#: Shingles that one side of a block holds at most on average (or one set, if larger), and the least that a member counts as: they bound
+#: what meets in a task to some thousands of members.
+BLOCK_SHINGLES, LEAST_SHINGLES = 500_000, 250
+
+
+def family_links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components within a hub's family; members: node, n, hub, component.
+
+    Only members outside their hub's component are one side; all members are the other. Both sides are dealt into blocks, and every
+    pair of blocks is one group."""
+    of_hub = members.where("node = hub").select("hub", F.col("component").alias("hub_component"))
+    rows = members.join(of_hub, "hub").withColumn("stray", F.col("component") != F.col("hub_component"))
+    weight = F.greatest(F.col("n"), F.lit(LEAST_SHINGLES))
+    size = rows.groupBy("hub").agg(F.sum(weight).alias("every"), F.sum(F.when(F.col("stray"), weight).otherwise(F.lit(0))).alias("strays")).where("strays > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int")
+    size = checkpointed(size.select("hub", blocks("strays").alias("of_left"), blocks("every").alias("of_right")))
+    rows = rows.join(size, "hub").withColumn("_h", F.xxhash64("node"))
+    place = lambda of: F.pmod(F.col("_h"), F.col(of)).cast("int")
+    span = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = rows.where("stray").select("hub", "node", "component", F.lit(0).alias("side"), place("of_left").alias("i"), span("of_right").alias("j"))
+    right = rows.select("hub", "node", "component", F.lit(1).alias("side"), span("of_left").alias("i"), place("of_right").alias("j"))
+    dealt = left.unionByName(right)
+    full = _full(rows.select(F.col("node").alias("doc_id")), docs, n)
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        node, component = table["node"].to_numpy(), table["component"].to_numpy()
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
+        length = np.array([len(x) for x in found])
+        _, token, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        many = count > 1  # others are in no intersection
+        column = np.cumsum(many) - 1
+        owner = np.repeat(np.arange(len(found)), length)
+        keep = many[token]
+        owner, token = owner[keep], column[token[keep]]
+        row = np.zeros(len(found), np.int64)
+        for s in (0, 1):
+            row[side == s] = np.arange((side == s).sum())
+        x, y = (np.flatnonzero(side == s) for s in (0, 1))
+        both = np.zeros((len(x), len(y)), np.float32)
+        for lo in range(0, int(many.sum()), 4096):  # columns by the thousand, so that the dense matrices stay small
+            parts = []
+            for s, of in ((0, x), (1, y)):
+                mine = (token >= lo) & (token < lo + 4096) & (side[owner] == s)
+                dense = np.zeros((len(of), 4096), np.float32)
+                dense[row[owner[mine]], token[mine] - lo] = 1
+                parts.append(dense)
+            both += parts[0] @ parts[1].T
+        both = both.astype(np.int64)
+        alike = 100 * both >= percent * (length[x][:, None] + length[y][None, :] - both)
+        i, j = np.nonzero(alike & (component[x][:, None] != component[y][None, :]))
+        return pa.table({"a": node[x][i], "b": node[y][j]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return dealt.join(full, "node").groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     rows = checkpointed(profiles(docs, n))
-    sketch = [F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "bands")]
+    sketch = [F.first(c).alias(c) for c in (*_SKETCH, *_BANDS)]
     classes = checkpointed(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), *sketch))
 
     keys = table_keys(classes)
-    chosen = F.min_by("node", F.xxhash64("node"))
-    centres = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("c0"), F.max("node").alias("c1"), chosen.alias("c2")).where("c0 < c1")
-    shared = checkpointed(keys.join(centres, "key"))
-    stars = shared.select("node", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c")).where("node <> c")
-    pairs = stars.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    sifted = pairs.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b").where(_close("a", "b", percent)).select("a", "b")
-    links = checkpointed(confirmed(checkpointed(sifted), docs, n, percent))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = checkpointed(keys.join(sizes, "key"))  # members of buckets of two and more
+    weight = shared.groupBy("node").agg(F.sum("size").alias("w"))
+    heaviest = F.max(F.struct("w", (-F.col("node")).alias("id")))
+    centres = shared.join(weight, "node").groupBy("key").agg((-heaviest["id"]).alias("c"))
+    starred = checkpointed(shared.join(centres, "key"))
+    pairs = starred.where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    sifted = checkpointed(pairs.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b").where(_close("a", "b", percent)).select("a", "b"))
+    links = checkpointed(confirmed(sifted, docs, n, percent))
     found = components(links)
 
-    # Buckets of four or more that still hold several components.
-    large = shared.where("size > 3").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = large.where("node <> c0 AND node <> c1 AND node <> c2").join(mixed, "key").select("key", "node", "component")
-    rest = rest.join(classes.select("node", "n", "s0", "s1", "s2", "s3"), "node")
-    side = lambda p: rest.select("key", *[F.col(c).alias(p + (c if c != "node" else "")) for c in ("node", "component", "n", "s0", "s1", "s2", "s3")])
-    more = checkpointed(side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("acomponent") != F.col("bcomponent")) & _close("a", "b", percent)).select("a", "b").distinct())
+    hub = checkpointed(hubs(sifted).join(found, "node", "left").select("node", "hub", F.coalesce("component", "node").alias("component")))
+    within = checkpointed(family_links(hub.join(classes.select("node", "n"), "node"), docs, n, percent))
+
+    # Buckets of three or more whose members, the centre aside, lie in several components under several hubs.
+    known = classes.select("node", "n", *_SKETCH).join(hub, "node", "left").withColumns({"hub": F.coalesce("hub", "node"), "component": F.coalesce("component", "node")})
+    rest = starred.where("size > 2 AND node <> c").select("key", "node").join(known, "node")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("hub").alias("u"), F.max("hub").alias("v")).where("x < y AND u < v").select("key")
+    rest = rest.join(mixed, "key")
+    side = lambda p: rest.select("key", *[F.col(c).alias(p + (c if c != "node" else "")) for c in ("node", "component", "hub", "n", *_SKETCH)])
+    apart = (F.col("a") < F.col("b")) & (F.col("acomponent") != F.col("bcomponent")) & (F.col("ahub") != F.col("bhub"))
+    across = checkpointed(side("a").join(side("b"), "key").where(apart & _close("a", "b", percent)).select("a", "b").distinct())
+    more = within if across.isEmpty() else checkpointed(within.unionByName(confirmed(across, docs, n, percent)))
     if not more.isEmpty():
-        found = components(links.unionByName(confirmed(more, docs, n, percent)))
+        found = components(links.unionByName(more))
 
     member = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(member, ["h1", "h2"], "left")
