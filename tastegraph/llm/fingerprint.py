@@ -2,9 +2,9 @@
 
 A rolling hash of the last seven bytes triggers chunk boundaries: at block size 2**k a boundary follows each byte whose
 (mixed) rolling hash ends in k zero bits. Each chunk gives one character (six bits of its hash), so an edit changes the characters of the chunks
-that it touches. k is the least with at most LENGTH chunks; the signature at k + 1 is kept too, so that texts of neighbouring
-block sizes compare. Where no k between overflow and fewer than LEAST chunks exists (repetitive texts), the lower k is kept and
-all chunks from the LENGTH-th on become one.
+that it touches. Chunks have 2**k / 4 bytes at least and 4 * 2**k at most, so that passages that repeat a word or line again and again, which trigger
+everywhere or nowhere, have signatures in proportion as well. k follows from the text's length, so that about USUAL chunks are expected at most, and is
+raised while there are more than LENGTH; the signature at k + 1 is kept too, so that texts of neighbouring block sizes compare.
 
     fingerprint = "k:signature at k:signature at k + 1"
 
@@ -21,6 +21,7 @@ first; the last row's next is the first of all (a single row's next is itself);
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from . import words as W
 from .frames import position, with_arrays
 
 U = np.uint64
-LENGTH, LEAST, SPAN = 64, 8, 7
+LENGTH, USUAL, SPAN = 64, 56, 7
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _ROLL = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -48,14 +49,22 @@ def _levels(data: np.ndarray) -> np.ndarray:
     return np.where(low == 0, 64, np.log2(np.maximum(low, U(1)).astype(np.float64))).astype(np.int8)
 
 
-def _signature(cuts: np.ndarray, sums: np.ndarray, n: int) -> str:
-    """One character for each chunk that ends at ``cuts`` (exclusive) or at n; sums: prefix sums of position-weighted bytes."""
-    if not len(cuts) or cuts[-1] != n:
-        cuts = np.append(cuts, n)
-    if len(cuts) > LENGTH:
-        cuts = np.append(cuts[: LENGTH - 1], n)
-    starts = np.concatenate([[0], cuts[:-1]])
-    h = W.mix((sums[cuts] - sums[starts]) * W._INV[starts % W.BLOCK] + (cuts - starts).astype(np.uint64))
+def _cuts(triggers: list[int], k: int, n: int) -> list[int]:
+    """Ends of the chunks at block size 2**k, cut at ``triggers`` (ascending) within the least and largest size; the list ends early beyond LENGTH."""
+    least, most = max(1, 1 << k >> 2), 4 << k
+    cuts, last = [], 0
+    while last < n and len(cuts) <= LENGTH:
+        i = bisect_left(triggers, last + least)
+        last = triggers[i] if i < len(triggers) and triggers[i] <= last + most else min(last + most, n)
+        cuts.append(last)
+    return cuts
+
+
+def _signature(cuts: list[int], sums: np.ndarray) -> str:
+    """One character for each chunk; sums: prefix sums of position-weighted bytes."""
+    ends = np.array(cuts)
+    starts = np.concatenate([[0], ends[:-1]])
+    h = W.mix((sums[ends] - sums[starts]) * W._INV[starts % W.BLOCK] + (ends - starts).astype(np.uint64))
     return _CHARS[(h >> U(58)).astype(np.int64)].tobytes().decode()
 
 
@@ -77,14 +86,13 @@ def fingerprint(data: np.ndarray) -> str:
         return "0::"
     levels = _levels(data)
     marked = np.flatnonzero(levels)  # most bytes trigger at k = 0 only
-    by_level = np.bincount(np.minimum(levels, 63), minlength=64)
-    chunks_at = np.cumsum(by_level[::-1])[::-1] + (levels[-1] < np.arange(64))  # the last chunk may end without a boundary
-    k = int(np.argmax(chunks_at <= LENGTH))
-    if k and chunks_at[k] < LEAST:
-        k -= 1
     sums = _prefix(data)
-    first = np.arange(1, n + 1) if k == 0 else marked[levels[marked] >= k] + 1
-    return f"{k}:{_signature(first, sums, n)}:{_signature(marked[levels[marked] > k] + 1, sums, n)}"
+    k = max(0, (n - 1) // USUAL).bit_length()
+    at = lambda k: _cuts((marked[levels[marked] >= k] + 1).tolist() if k else list(range(1, n + 1)), k, n)
+    own = at(k)
+    while len(own) > LENGTH:
+        k, own = k + 1, at(k + 1)
+    return f"{k}:{_signature(own, sums)}:{_signature(at(k + 1), sums)}"
 
 
 def fingerprints(column: pa.Array) -> list[str]:

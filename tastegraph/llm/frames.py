@@ -45,8 +45,8 @@ def position(df: DataFrame, name: str) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir, its lineage cut; that folder is set here only if the session has none (tests)."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()

@@ -16,7 +16,7 @@ from .ftrl import Ftrl, Model, sigmoid
 U = np.uint64
 
 #: Toxicity: presence of a word n-gram anywhere in a text is the evidence, so values are 1 whatever the length.
-TOXIC = Ftrl(bits=22, alpha=1.0, beta=1.0, l1=6.0, l2=1.0)
+TOXIC = Ftrl(bits=22, alpha=1.0, beta=1.0, l1=4.0, l2=0.1, steps=30_000)
 #: Quality: shares of n-grams, so that long and short texts compare.
 QUALITY = Ftrl(bits=20, alpha=0.5, beta=1.0, l1=0.5, l2=0.5)
 
@@ -25,10 +25,18 @@ def _slots(hashes: np.ndarray, salt: int, bits: int) -> np.ndarray:
     return (W.mix(hashes ^ U(salt * 0x9E3779B97F4A7C15 % 2**64)) >> U(64 - bits)).astype(np.int64)
 
 
-def _toxic_slots(words: W.Words, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(slots, text of each) for words, pairs of neighbours, and pairs with one word skipped."""
+#: Lengths in bytes of the word beginnings that count besides whole words: an insult that takes endings is one stem.
+STEMS = (4, 5, 6, 7)
+
+
+def _toxic_slots(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slots, text of each) for words and their stems, pairs of neighbours, and pairs with one word skipped."""
+    words = W.split(data, offsets, W.ALNUM, STEMS)
     h, text = words.hashes, words.text_of()
     yield _slots(h, 1, bits), text
+    for k, stem in zip(STEMS, words.stems, strict=True):
+        long = np.flatnonzero(stem)
+        yield _slots(stem[long], 8 + k, bits), text[long]
     for gap, salt in ((1, 2), (2, 3)):
         inside = text[gap:] == text[:-gap] if len(h) > gap else np.zeros(0, bool)
         pair = h[:-gap] * U(0xD6E8FEB86659FD93) + h[gap:] if len(h) > gap else h[:0]
@@ -38,7 +46,7 @@ def _toxic_slots(words: W.Words, bits: int) -> Iterator[tuple[np.ndarray, np.nda
 def toxic_features(column: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct slots of each text with value 1, for training."""
     for lo, hi, data, offsets in W.chunks(column):
-        found = list(_toxic_slots(W.split(data, offsets, W.ALNUM), bits))
+        found = list(_toxic_slots(data, offsets, bits))
         slots, text = (np.concatenate(x) for x in zip(*found, strict=True))
         keys = np.unique(text << bits | slots)
         at = np.searchsorted(keys, np.arange(hi - lo + 1) << bits)
@@ -52,7 +60,7 @@ def toxic_scores(column: pa.Array, model: Model) -> np.ndarray:
     out = []
     for lo, hi, data, offsets in W.chunks(column):
         keys = []
-        for slots, text in _toxic_slots(W.split(data, offsets, W.ALNUM), model.bits):
+        for slots, text in _toxic_slots(data, offsets, model.bits):
             hit = np.flatnonzero(model.dense[slots])
             keys.append(text[hit] << model.bits | slots[hit])
         keys = np.unique(np.concatenate(keys))

@@ -1,14 +1,18 @@
-"""SentencePiece encoding and decoding with a given model file (nothing is trained, no file is copied).
+"""SentencePiece encoding and decoding with a given model file (nothing is trained, no file is copied), by a streaming Viterbi search.
 
-Unigram models are segmented by ``StreamingViterbi``: a lattice over a window of the longest piece's length, from which ids are committed
+A lattice is kept over a window of the longest piece's length: every boundary has a back pointer to the start of its last piece, and ids are committed
 whenever the back pointers of all positions that a later piece could still start from meet in one boundary.
 
-BPE models are segmented by the sentencepiece library's own merge order instead. A best path by scores isn't what a BPE model
-means: scores there are merge ranks, and on the tables here Viterbi gives other pieces than the model for 45 in 100 words. The stream is cut
-at spaces that follow another character, which no piece crosses (checked against the vocabulary when the model is loaded),
-so memory is bounded by SEGMENT characters or the longest run without such a space, and ids equal those for the whole text.
+* Unigram models: the back pointer of the best sum of scores.
+* BPE models: a best sum of scores isn't what such a model means (scores there are merge ranks; a search for the best sum gives other
+  pieces than the model for 45 in 100 words of the tables here). The survivor is found from the merges instead: a sequence of pieces is
+  what merging gives exactly if each piece merges to itself and no two neighbours, merged together, give anything but themselves. So every
+  boundary has exactly one survivor, the piece that gets along with the survivor at its start, and ids equal the library's.
 
-Both ways are lossless: encoding always works on a space and the text (``add_dummy_prefix``), characters without a piece become bytes, and a literal
+Texts are cut at spaces that follow another character, which no piece crosses (checked against the vocabulary when the model is loaded; otherwise a text
+is one unit); the ids of short units are kept for reuse.
+
+Encoding is lossless: it always works on a space and the text (``add_dummy_prefix``), characters without a piece become bytes, and a literal
 U+2581, which the library would turn into a space, is written as its three bytes. Decoding joins the pieces' bytes and drops the first space.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows get equal ids; lone surrogates cannot occur in Spark strings; columns
@@ -17,7 +21,9 @@ with the names of outputs are replaced, others pass through; an empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,69 +34,148 @@ from . import words as W
 from .frames import position, with_arrays
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEGMENT = 65_536
 MODEL_LIMIT = 64 << 20
 MARK = "▁"
+#: Units up to this length are remembered, and so many of them.
+UNIT_LIMIT, UNITS = 48, 1 << 18
 
 
 class StreamingViterbi:
-    """Best segmentation by the sum of piece scores, with memory bounded by the longest piece.
-
-    scores: piece -> (id, score). Characters that no piece covers become ``fallback(character)`` ids at ``penalty`` for each character.
-    Of equal sums the path whose last piece is longer wins (the first found from the left end of the window).
-    """
+    """Segmentation in a window. scores: piece -> (id, score); other characters become ``fallback(character)``."""
 
-    def __init__(self, scores: dict[str, tuple[int, float]], fallback, penalty: float):
-        self.scores, self.fallback, self.penalty = scores, fallback, penalty
+    def __init__(self, scores: dict[str, tuple[int, float]], fallback):
+        self.scores, self.fallback = scores, fallback
         self.longest = max(map(len, scores), default=1)
+        self.widest = 0  # characters in the window at most, over all texts
 
-    def stream(self, characters: Iterator[str]) -> Iterator[list[int]]:
-        """Lists of ids, each committed as soon as it is certain; their concatenation is the result. ``widest`` is left on the object."""
-        text, base = "", 0  # characters from the last committed boundary on; its absolute place
-        best, back, ids = [0.0], [0], [[]]  # for each boundary from base on: score, start of its last piece, that piece's ids
-        self.widest = 0
+    def survivor(self, text: str, back: list[int], best: list[float], before: str | None) -> tuple[int, float]:
+        """(start of the last piece, sum of scores) of the path that reaches the end of ``text``; ``before``: the piece ahead of the window."""
+        raise NotImplementedError
+
+    def stream(self, characters: Iterable[str]) -> Iterator[list[int]]:
+        """Lists of ids, each committed as soon as it is certain; their concatenation is the result."""
+        text, before = "", None  # characters from the last committed boundary on
+        back, best = [0], [0.0]  # for each boundary of the window
         for c in characters:
             text += c
-            end = len(text)
-            top, start, own = -np.inf, end - 1, None
-            for s in range(max(0, end - self.longest), end):
-                if (hit := self.scores.get(text[s:end])) and best[s] + hit[1] > top:
-                    top, start, own = best[s] + hit[1], s, [hit[0]]
-            if own is None:
-                top, start, own = best[end - 1] + self.penalty, end - 1, self.fallback(c)
-            best.append(top)
+            start, score = self.survivor(text, back, best, before)
             back.append(start)
-            ids.append(own)
+            best.append(score)
+            end = len(text)
             self.widest = max(self.widest, end)
-            # Every later path passes one of these boundaries; follow all back to where they meet.
-            alive = set(range(max(0, end - self.longest + 1), end + 1))
+            if end <= self.longest:
+                continue  # the start itself is among them still
+            # Every later path passes one of these boundaries; the last is followed back until all have met.
+            alive = set(range(end - self.longest + 1, end + 1))
             while len(alive) > 1:
                 last = max(alive)
                 alive.remove(last)
                 alive.add(back[last])
             if meet := alive.pop():
-                path, at = [], meet
-                while at:
-                    path.append(ids[at])
-                    at = back[at]
-                yield [i for piece in reversed(path) for i in piece]
-                text, base = text[meet:], base + meet
-                best, back, ids = best[meet:], [max(0, b - meet) for b in back[meet:]], ids[meet:]
-        path, at = [], len(text)
+                pieces = self._path(text, back, meet)
+                yield self._ids(pieces)
+                text, before = text[meet:], pieces[-1]
+                back, best = [max(0, b - meet) for b in back[meet:]], best[meet:]
+        yield self._ids(self._path(text, back, len(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return [i for part in self.stream(text) for i in part]
+
+    def _path(self, text: str, back: list[int], at: int) -> list[str]:
+        out = []
         while at:
-            path.append(ids[at])
+            out.append(text[back[at] : at])
             at = back[at]
-        yield [i for piece in reversed(path) for i in piece]
+        return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        return [i for part in self.stream(iter(text)) for i in part]
+    def _ids(self, pieces: list[str]) -> list[int]:
+        out: list[int] = []
+        for p in pieces:
+            if hit := self.scores.get(p):
+                out.append(hit[0])
+            else:
+                out += self.fallback(p)
+        return out
+
+
+class BestSum(StreamingViterbi):
+    """Unigram models; a character without a piece costs ``penalty``; of equal sums the path whose last piece is longest wins."""
+
+    def __init__(self, scores, fallback, penalty: float):
+        super().__init__(scores, fallback)
+        self.penalty = penalty
+
+    def survivor(self, text, back, best, before):
+        end = len(text)
+        top, start = -np.inf, end - 1
+        for s in range(max(0, end - self.longest), end):
+            if (hit := self.scores.get(text[s:])) and best[s] + hit[1] > top:
+                top, start = best[s] + hit[1], s
+        return (start, top) if top > -np.inf else (end - 1, best[end - 1] + self.penalty)
+
+
+class Merges(StreamingViterbi):
+    """BPE models."""
+
+    def __init__(self, scores, fallback):
+        super().__init__(scores, fallback)
+        least = min((x for _, x in scores.values()), default=0.0)
+        self.rank = {p: x - least + 1.0 for p, (_, x) in scores.items() if len(p) > 1}
+        self.whole = {p for p in scores if len(p) > 1 and self.merged(p) == [p]}  # pieces that merging can give
+        self.apart: dict[tuple[str, str], bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """The definition: the best-scored pair of neighbours that is a piece is merged (the first of equals) until there is none."""
+        out, get = list(text), self.rank.get
+        ranks = [get(a + b, 0.0) for a, b in zip(out, out[1:])]  # above 0: mergeable, the more the better
+        while ranks and (top := max(ranks)):
+            at = ranks.index(top)
+            out[at : at + 2] = [out[at] + out[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(out[at - 1] + out[at], 0.0)
+            if at < len(ranks):
+                ranks[at] = get(out[at] + out[at + 1], 0.0)
+        return out
+
+    def _stay(self, a: str, b: str) -> bool:
+        """Whether two neighbouring pieces stay as they are."""
+        if (known := self.apart.get((a, b))) is None:
+            if len(self.apart) >= 4 * UNITS:
+                self.apart.clear()
+            known = self.apart[a, b] = self.merged(a + b) == [a, b]
+        return known
+
+    def survivor(self, text, back, best, before):
+        end, whole = len(text), self.whole
+        for s in range(max(0, end - self.longest), end - 1):
+            if (piece := text[s:]) in whole:
+                ahead = text[back[s] : s] if s else before
+                if ahead is None or self._stay(ahead, piece):
+                    return s, 0.0
+        return end - 1, 0.0  # there is always one survivor, here the single character
+
+
+class Units(dict):
+    """Unit -> its ids as bytes of int32, made when first asked for."""
+
+    def __init__(self, search: StreamingViterbi):
+        super().__init__()
+        self.search = search
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = np.array(self.search.encode(unit), np.int32).tobytes()
+        if len(unit) <= UNIT_LIMIT:
+            if len(self) >= UNITS:
+                self.clear()
+            self[unit] = ids
+        return ids
 
 
 class Pieces:
     """A model made ready from its file's bytes."""
 
     def __init__(self, model: bytes):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         spec = proto.ModelProto()
@@ -98,73 +183,53 @@ class Pieces:
         if spec.normalizer_spec.precompiled_charsmap or spec.normalizer_spec.remove_extra_whitespaces or spec.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models that leave the text as it is can be decoded exactly")
         self.prefixed = spec.normalizer_spec.add_dummy_prefix
-        spec.normalizer_spec.add_dummy_prefix = False
         kinds = proto.ModelProto.SentencePiece
-        self.bytes_of, self.byte_ids, self.scores, unknown = [], {}, {}, 0
+        bytes_of, byte_ids, scores = [], {}, {}
         for i, p in enumerate(spec.pieces):
             if p.type == kinds.BYTE:
-                self.byte_ids[int(p.piece[3:5], 16)] = i
-                self.bytes_of.append(bytes([int(p.piece[3:5], 16)]))
+                byte_ids[int(p.piece[3:5], 16)] = i
+                bytes_of.append(bytes([int(p.piece[3:5], 16)]))
             elif p.type in (kinds.NORMAL, kinds.USER_DEFINED):
-                self.scores[p.piece] = (i, p.score)
-                self.bytes_of.append(p.piece.replace(MARK, " ").encode())
+                scores[p.piece.replace(MARK, " ")] = (i, p.score)
+                bytes_of.append(p.piece.replace(MARK, " ").encode())
             else:
-                unknown = i if p.type == kinds.UNKNOWN else unknown
-                self.bytes_of.append(b"")
-        if len(self.byte_ids) < 256:
+                bytes_of.append(b"")
+        if len(byte_ids) < 256:
             raise ValueError("the model has no byte pieces: not every text could be decoded")
-        self.unigram = spec.trainer_spec.model_type == proto.TrainerSpec.UNIGRAM
-        self.cuttable = not any(MARK in p.lstrip(MARK) for p in self.scores)
-        self.mark_ids = [self.byte_ids[b] for b in MARK.encode()]
-        if self.unigram:
-            lowest = min((s for _, s in self.scores.values()), default=0.0)
-            self.viterbi = StreamingViterbi(self.scores, lambda c: [self.byte_ids[b] for b in c.encode()], lowest - 10.0)
+        fallback = lambda text: [byte_ids[b] for b in text.encode()]
+        if spec.trainer_spec.model_type == proto.TrainerSpec.UNIGRAM:
+            search = BestSum(scores, fallback, min((s for _, s in scores.values()), default=0.0) - 10.0)
+        elif spec.trainer_spec.model_type == proto.TrainerSpec.BPE:
+            search = Merges(scores, fallback)
         else:
-            self.library = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-
-    def segments(self, text: str, limit: int = SEGMENT) -> Iterator[str]:
-        """Parts that can be encoded by themselves."""
-        at, n = 0, len(text)
-        while n - at > limit and self.cuttable:
-            cut = text.rfind(" ", at + 1, at + limit)
-            while cut > at and text[cut - 1] == " ":
-                cut -= 1
-            if cut <= at:  # no space so soon: the next one behind another character
-                cut = at + limit
-                while (cut := text.find(" ", cut)) >= 0 and text[cut - 1] == " ":
-                    cut += 1
-                if cut < 0:
-                    break
-            yield text[at:cut]
-            at = cut
-        yield text[at:]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """int32 ids of each text."""
-        parts, owner = [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            whole = " " + text if self.prefixed else text
-            for k, plain in enumerate(whole.split(MARK)):
-                if k:
-                    parts.append(None)
-                    owner.append(i)
-                for part in self.segments(plain) if plain else ():
-                    parts.append(part)
-                    owner.append(i)
-        plain = [p for p in parts if p is not None]
-        coded = iter([self.viterbi.encode(p.replace(" ", MARK)) for p in plain] if self.unigram else self.library.encode(plain, out_type=int, num_threads=1))
-        out: list[list] = [[] for _ in texts]
-        for i, p in zip(owner, parts, strict=True):
-            out[i].append(np.array(self.mark_ids if p is None else next(coded), np.int32))
-        return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.int32) for x in out]
+            raise ValueError("neither a unigram nor a BPE model")
+        self.bytes_of, self.units = bytes_of, Units(search)
+        cuttable = not any(" " in p.lstrip(" ") for p in scores)
+        self.cut = re.compile(r" *[^ ]+| +" if cuttable else r"(?s).+").findall
+
+    def encode(self, text: str) -> np.ndarray:
+        """int32 ids."""
+        if not text:
+            return np.zeros(0, np.int32)
+        return np.frombuffer(b"".join(map(self.units.__getitem__, self.cut(" " + text if self.prefixed else text))), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefixed and text.startswith(" ") else text
 
 
+_READY: dict[str, Pieces] = {}
+
+
+def ready(model: bytes) -> Pieces:
+    """The model, made once in each worker process."""
+    key = hashlib.sha256(model).hexdigest()
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Pieces(model)
+    return _READY[key]
+
+
 def load(spark: SparkSession, path: str = MODEL) -> bytes:
     """The model's bytes (at most MODEL_LIMIT): a local path by the driver, any other by Spark's reader."""
     if "://" in path:
@@ -183,12 +248,12 @@ def encode(docs: DataFrame, text_column: str = "text", path: str = MODEL, check:
     at = position(docs, text_column)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
-        model = Pieces(shared.value)
+        model = ready(shared.value)
         for batch in batches:
             column = W.texts(batch.column(at))
             for lo, hi, _, _ in W.chunks(column):  # short output batches
                 these = column.slice(lo, hi - lo).to_pylist()
-                ids = model.encode(these)
+                ids = [model.encode(t) for t in these]
                 size = np.array([len(x) for x in ids], np.int64)
                 got = {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32())), "n_ids": pa.array(size)}
                 if check:
@@ -205,7 +270,7 @@ def decode(rows: DataFrame, ids_column: str = "ids", output: str = "text", path:
     at = position(rows, ids_column)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict]]:
-        model = Pieces(shared.value)
+        model = ready(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

@@ -75,12 +75,14 @@ class Words:
     """Words of a chunk of texts, in order.
 
     bounds: words of text d are ``[bounds[d], bounds[d + 1])``.
+    stems: a row for each prefix length that was asked for, with the hash of so many first bytes of each word (0: the word is shorter).
     """
 
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
+    stems: np.ndarray
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
@@ -113,10 +115,11 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[t
         row = end
 
 
-def split(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet = SPACED) -> Words:
-    """All words of the texts that lie one after another in ``data``."""
+def split(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet = SPACED, stems: tuple[int, ...] = ()) -> Words:
+    """All words of the texts that lie one after another in ``data``; ``stems``: lengths of prefixes to be hashed as well, in bytes."""
     cut = offsets[1:-1]  # texts that start inside: no word crosses these
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    prefixes: list[np.ndarray] = []
     at, size = 0, len(data)
     while at < size:
         end = min(at + BLOCK, size)
@@ -140,12 +143,15 @@ def split(data: np.ndarray, offsets: np.ndarray, alphabet: Alphabet = SPACED) ->
         sums[0] = 0
         np.cumsum(alphabet.values[block] * _POW[: len(block)], out=sums[1:])
         parts.append(((sums[ends] - sums[starts]) * _INV[starts] + (ends - starts).astype(np.uint64), starts + at, ends + at))
+        if stems:
+            prefixes.append(np.stack([np.where(ends - starts >= k, mix((sums[np.minimum(starts + k, ends)] - sums[starts]) * _INV[starts] + U(k)), U(0)) for k in stems]))
         at = end
     if parts:
         hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
     else:
         hashes, starts, ends = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return Words(mix(hashes), starts, ends, np.searchsorted(starts, offsets, "left"))
+    found = np.concatenate(prefixes, 1) if prefixes else np.zeros((len(stems), 0), np.uint64)
+    return Words(mix(hashes), starts, ends, np.searchsorted(starts, offsets, "left"), found)
 
 
 _M = U(0xD6E8FEB86659FD93)
