@@ -15,7 +15,7 @@ sequence as one). Two documents are linked if ``100 * |A and B| >= percent * |A
    family isn't one component yet (members just too far from the hub may be near one another), its members' sets are compared in blocks of bounded
    size by one matrix product each, which yields only confirmed links between components.
 5. What remains in buckets of three or more - members of different components and different hubs - is compared pair by pair under the same
-   sieve inside the join, and confirmed. So no candidate pair that could still join two components is left out.
+   sieve inside the join (once, in the first bucket that they share), and confirmed. So no candidate pair that could still join two components is left out.
 6. Components by large-star and small-star rounds, all distributed.
 
 Defined cases: null and empty texts, and those of white space only, have no shingles and are linked with nothing; rows of one doc_id are one document
@@ -91,7 +91,7 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, node): the HALF * HALF pairs of minhashes of each class, hashed with their place."""
+    """(key, node): the HALF * HALF pairs of minhashes of each class, hashed with their place (i, j), which is also in the key's last six bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,6 +101,7 @@ def table_keys(classes: DataFrame) -> DataFrame:
                 place = np.arange(HALF, dtype=np.uint64)
                 left, right = W.mix(m[:, 0] << U(8) | place), W.mix(m[:, 1] << U(8) | place + U(HALF))
                 keys = W.mix(left[:, :, None] + right[:, None, :] * U(0xD6E8FEB86659FD93)).reshape(len(m), -1)
+                keys = keys & ~U(HALF * HALF - 1) | np.arange(HALF * HALF, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), HALF * HALF))], ["key", "node"])
 
     return classes.select("node", *_BANDS).mapInArrow(run, "key long, node long")
@@ -124,6 +125,21 @@ def _close(a: str, b: str, percent: int) -> Column:
     return (100 * least >= percent * most) & (_equal(a, b) >= LEAST_EQUAL)
 
 
+def _first_key(key: Column, a: str, b: str) -> Column:
+    """Whether a key that two classes share is the first such: its place is that of their first equal minhash in either collection."""
+
+    def first(bands: list[str]) -> Column:
+        found = None
+        for i, band in enumerate(bands):
+            differ = F.col(f"{a}{band}").bitwiseXOR(F.col(f"{b}{band}"))
+            for k, half in enumerate((0xFFFFFFFF, -0x100000000)):
+                equal, place = differ.bitwiseAND(F.lit(half)) == 0, F.lit(2 * i + k)
+                found = F.when(equal, place) if found is None else found.when(equal, place)
+        return found
+
+    return key.bitwiseAND(F.lit(HALF * HALF - 1)) == first(_BANDS[: HALF // 2]) * HALF + first(_BANDS[HALF // 2 :])
+
+
 def _prefixed(classes: DataFrame, p: str, *more: str) -> DataFrame:
     return classes.select(F.col("node").alias(p), *[F.col(c).alias(p + c) for c in ("n", "s0", "s1", "s2", "s3", *more)])
 
@@ -285,14 +301,15 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc
     hub = checkpointed(hubs(sifted).join(found, "node", "left").select("node", "hub", F.coalesce("component", "node").alias("component")))
     within = checkpointed(family_links(hub.join(classes.select("node", "n"), "node"), docs, n, percent))
 
-    # Buckets of three or more whose members, the centre aside, lie in several components under several hubs.
-    known = classes.select("node", "n", *_SKETCH).join(hub, "node", "left").withColumns({"hub": F.coalesce("hub", "node"), "component": F.coalesce("component", "node")})
-    rest = starred.where("size > 2 AND node <> c").select("key", "node").join(known, "node")
+    # Buckets of three or more whose members, the centre aside, lie in several components under several hubs. A pair that meets in
+    # several buckets is taken in the first: if one of them is the centre there, the pair is known already.
+    place = classes.select("node").join(hub, "node", "left").select("node", F.coalesce("hub", "node").alias("hub"), F.coalesce("component", "node").alias("component"))
+    rest = starred.where("size > 2 AND node <> c").select("key", "node").join(place, "node")
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("hub").alias("u"), F.max("hub").alias("v")).where("x < y AND u < v").select("key")
-    rest = rest.join(mixed, "key")
-    side = lambda p: rest.select("key", *[F.col(c).alias(p + (c if c != "node" else "")) for c in ("node", "component", "hub", "n", *_SKETCH)])
+    rest = checkpointed(rest.join(mixed, "key").join(classes.select("node", "n", *_SKETCH, *_BANDS), "node"))
+    side = lambda p: rest.select("key", *[F.col(c).alias(p + (c if c != "node" else "")) for c in ("node", "component", "hub", "n", *_SKETCH, *_BANDS)])
     apart = (F.col("a") < F.col("b")) & (F.col("acomponent") != F.col("bcomponent")) & (F.col("ahub") != F.col("bhub"))
-    across = checkpointed(side("a").join(side("b"), "key").where(apart & _close("a", "b", percent)).select("a", "b").distinct())
+    across = checkpointed(side("a").join(side("b"), "key").where(apart & _first_key(F.col("key"), "a", "b") & _close("a", "b", percent)).select("a", "b"))
     more = within if across.isEmpty() else checkpointed(within.unionByName(confirmed(across, docs, n, percent)))
     if not more.isEmpty():
         found = components(links.unionByName(more))
