@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_LIMIT = 64 << 20
 MARK = "▁"
 #: Units up to this length are remembered, and so many of them.
-UNIT_LIMIT, UNITS = 48, 1 << 18
+UNIT_LIMIT, UNITS = 48, 1 << 19
 
 
 class StreamingViterbi:
@@ -46,56 +47,71 @@ class StreamingViterbi:
     def __init__(self, scores: dict[str, tuple[int, float]], fallback):
         self.scores, self.fallback = scores, fallback
         self.longest = max(map(len, scores), default=1)
-        self.widest = 0  # characters in the window at most, over all texts
-
-    def survivor(self, text: str, back: list[int], best: list[float], before: str | None) -> tuple[int, float]:
-        """(start of the last piece, sum of scores) of the path that reaches the end of ``text``; ``before``: the piece ahead of the window."""
+        self.widest = 0  # boundaries in the window at most, over all texts
+        self.names: list[str] = []  # pieces by number
+        self.ids: list[list[int]] = []
+        self.begun: dict[str, int] = {}  # beginnings of pieces: the number of a whole one, else -1
+        self.inside = {p[k : k + 2] for p in scores for k in range(len(p) - 1)}  # other two characters can be parted: no piece holds them
+        for piece in scores:
+            if self.usable(piece):
+                for k in range(2, len(piece)):
+                    self.begun.setdefault(piece[:k], -1)
+                self.number(piece, [scores[piece][0]])
+        for c in {p[0] for p in scores}.difference(self.begun):
+            self.number(c, fallback(c))
+
+    def number(self, piece: str, ids: list[int]) -> int:
+        self.begun[piece] = len(self.names)
+        self.names.append(piece)
+        self.ids.append(ids)
+        return self.begun[piece]
+
+    def usable(self, piece: str) -> bool:
+        return True
+
+    def extend(self, text: str, at: int, stop: int, k: int, back: list[int], last: list[int], best: list[float]) -> None:
+        """Offers all pieces that start from ``at`` (boundary k of the window) to ``stop`` to the boundaries where they end.
+
+        back, last, best: of each boundary the start, number and sum of scores of its survivor (number -2: none yet, -1: a text's start)."""
         raise NotImplementedError
 
-    def stream(self, characters: Iterable[str]) -> Iterator[list[int]]:
+    def stream(self, text: str) -> Iterator[list[int]]:
         """Lists of ids, each committed as soon as it is certain; their concatenation is the result."""
-        text, before = "", None  # characters from the last committed boundary on
-        back, best = [0], [0.0]  # for each boundary of the window
-        for c in characters:
-            text += c
-            start, score = self.survivor(text, back, best, before)
-            back.append(start)
-            best.append(score)
-            end = len(text)
-            self.widest = max(self.widest, end)
-            if end <= self.longest:
-                continue  # the start itself is among them still
-            # Every later path passes one of these boundaries; the last is followed back until all have met.
-            alive = set(range(end - self.longest + 1, end + 1))
-            while len(alive) > 1:
-                last = max(alive)
-                alive.remove(last)
-                alive.add(back[last])
-            if meet := alive.pop():
-                pieces = self._path(text, back, meet)
-                yield self._ids(pieces)
-                text, before = text[meet:], pieces[-1]
-                back, best = [max(0, b - meet) for b in back[meet:]], best[meet:]
-        yield self._ids(self._path(text, back, len(text)))
+        n, longest = len(text), self.longest
+        at = k = 0  # the boundary in turn, in the text and in the window
+        back, last, best = [0], [-1], [0.0]
+        while at < n:
+            stop = min(at + longest, n)
+            more = k + min(stop + longest, n) - at + 1 - len(last)
+            back += [0] * more
+            last += [-2] * more
+            best += [-np.inf] * more
+            self.extend(text, at, stop, k, back, last, best)
+            k += stop - at
+            at = stop
+            if at < n:
+                self.widest = max(self.widest, len(last))
+                # Every later path passes one of the boundaries that pieces up to here have reached; the last is followed back until all meet.
+                open_ = {e for e in range(k, len(last)) if last[e] >= 0}
+                while len(open_) > 1:
+                    top = max(open_)
+                    open_.remove(top)
+                    open_.add(back[top])
+                if meet := open_.pop():
+                    yield self._path(back, last, meet)
+                    back, last, best = [max(0, b - meet) for b in back[meet:]], last[meet:], best[meet:]
+                    k -= meet
+        yield self._path(back, last, k)
 
     def encode(self, text: str) -> list[int]:
         return [i for part in self.stream(text) for i in part]
 
-    def _path(self, text: str, back: list[int], at: int) -> list[str]:
+    def _path(self, back: list[int], last: list[int], at: int) -> list[int]:
         out = []
         while at:
-            out.append(text[back[at] : at])
+            out.append(self.ids[last[at]])
             at = back[at]
-        return out[::-1]
-
-    def _ids(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            if hit := self.scores.get(p):
-                out.append(hit[0])
-            else:
-                out += self.fallback(p)
-        return out
+        return [i for ids in reversed(out) for i in ids]
 
 
 class BestSum(StreamingViterbi):
@@ -105,24 +121,33 @@ class BestSum(StreamingViterbi):
         super().__init__(scores, fallback)
         self.penalty = penalty
 
-    def survivor(self, text, back, best, before):
-        end = len(text)
-        top, start = -np.inf, end - 1
-        for s in range(max(0, end - self.longest), end):
-            if (hit := self.scores.get(text[s:])) and best[s] + hit[1] > top:
-                top, start = best[s] + hit[1], s
-        return (start, top) if top > -np.inf else (end - 1, best[end - 1] + self.penalty)
+    def extend(self, text, at, stop, k, back, last, best):
+        end = len(last) - k + at
+        for start in range(at, stop):
+            here = start - at + k
+            for e in range(start + 1, min(start + self.longest, end - 1) + 1):
+                if (piece := self.begun.get(text[start:e])) is None:
+                    if e > start + 1:
+                        break
+                    piece = self.number(text[start], self.fallback(text[start]))
+                if piece >= 0:
+                    hit, to = self.scores.get(self.names[piece]), here + e - start
+                    if (score := best[here] + (hit[1] if hit else self.penalty)) > best[to]:
+                        back[to], last[to], best[to] = here, piece, score
 
 
 class Merges(StreamingViterbi):
     """BPE models."""
 
     def __init__(self, scores, fallback):
-        super().__init__(scores, fallback)
         least = min((x for _, x in scores.values()), default=0.0)
         self.rank = {p: x - least + 1.0 for p, (_, x) in scores.items() if len(p) > 1}
-        self.whole = {p for p in scores if len(p) > 1 and self.merged(p) == [p]}  # pieces that merging can give
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.stay: dict[int, bool] = {}  # two numbers in one -> whether the pieces stay as they are side by side
+        super().__init__(scores, fallback)
+
+    def usable(self, piece):
+        """Pieces that merging gives."""
+        return self.merged(piece) == [piece]
 
     def merged(self, text: str) -> list[str]:
         """The definition: the best-scored pair of neighbours that is a piece is merged (the first of equals) until there is none."""
@@ -138,39 +163,57 @@ class Merges(StreamingViterbi):
                 ranks[at] = get(out[at] + out[at + 1], 0.0)
         return out
 
-    def _stay(self, a: str, b: str) -> bool:
-        """Whether two neighbouring pieces stay as they are."""
-        if (known := self.apart.get((a, b))) is None:
-            if len(self.apart) >= 4 * UNITS:
-                self.apart.clear()
-            known = self.apart[a, b] = self.merged(a + b) == [a, b]
+    def extend(self, text, at, stop, k, back, last, best):
+        begun, stay, longest, shift, end = self.begun.get, self.stay.get, self.longest, k - at, len(last) - k + at - 1
+        for start in range(at, stop):
+            ahead = last[start + shift]
+            for e in range(start + 1, min(start + longest, end) + 1):
+                if (piece := begun(text[start:e])) is None:
+                    if e > start + 1:
+                        break
+                    piece = self.number(text[start], self.fallback(text[start]))
+                if piece >= 0 and last[e + shift] == -2 and (ahead < 0 or (known := stay(ahead << 32 | piece)) or known is None and self._stays(ahead, piece)):
+                    back[e + shift], last[e + shift] = start + shift, piece
+
+    def _stays(self, ahead: int, piece: int) -> bool:
+        if len(self.stay) >= UNITS // 2:
+            self.stay.clear()
+        a, b = self.names[ahead], self.names[piece]
+        known = self.stay[ahead << 32 | piece] = self.rank.get(a + b, 0.0) == 0.0 and self.merged(a + b) == [a, b]
         return known
 
-    def survivor(self, text, back, best, before):
-        end, whole = len(text), self.whole
-        for s in range(max(0, end - self.longest), end - 1):
-            if (piece := text[s:]) in whole:
-                ahead = text[back[s] : s] if s else before
-                if ahead is None or self._stay(ahead, piece):
-                    return s, 0.0
-        return end - 1, 0.0  # there is always one survivor, here the single character
 
-
-class Units(dict):
-    """Unit -> its ids as bytes of int32, made when first asked for."""
+class Units:
+    """Unit -> its ids as bytes of int32. Two generations of UNITS / 2 units are kept: what was asked for lately stays."""
 
     def __init__(self, search: StreamingViterbi):
-        super().__init__()
-        self.search = search
+        self.search, self.new, self.old = search, _Unit(self), {}
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.search.encode(unit), np.int32).tobytes()
+    def make(self, unit: str) -> bytes:
+        if (ids := self.old.get(unit)) is None:
+            cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.search.inside]
+            if cuts:
+                ids = b"".join([self.new[unit[a:b]] for a, b in zip([0, *cuts], [*cuts, len(unit)])])
+            else:
+                ids = array("i", self.search.encode(unit)).tobytes()
         if len(unit) <= UNIT_LIMIT:
-            if len(self) >= UNITS:
-                self.clear()
-            self[unit] = ids
+            self.new[unit] = ids
         return ids
 
+    def encode(self, units: list[str]) -> bytes:
+        if len(self.new) >= UNITS // 2:
+            self.new, self.old = _Unit(self), dict(self.new)
+        return b"".join(map(self.new.__getitem__, units))
+
+
+class _Unit(dict):
+    def __init__(self, owner: Units):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.owner.make(unit)
+
 
 class Pieces:
     """A model made ready from its file's bytes."""
@@ -211,7 +254,7 @@ class Pieces:
         """int32 ids."""
         if not text:
             return np.zeros(0, np.int32)
-        return np.frombuffer(b"".join(map(self.units.__getitem__, self.cut(" " + text if self.prefixed else text))), np.int32)
+        return np.frombuffer(self.units.encode(self.cut(" " + text if self.prefixed else text)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
