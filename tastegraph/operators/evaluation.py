@@ -110,13 +110,14 @@ def pooled_table(seen: DataFrame, scoreable_only: bool = False) -> DataFrame:
     """row, Q1..Q5, ALL: median percentile of each method, then ``n`` and ``rankable`` (share that the engine could rank).
 
     One grouping-sets pass gives quintiles and the total."""
-    own = METHODS_FIRST
     base = seen.where("scoreable") if scoreable_only else seen
     level = lambda df: df.withColumn("quintile", F.explode(F.array(F.col("quintile"), F.lit("ALL"))))
     med = level(base).groupBy(F.col("method").alias("row"), "quintile").agg(F.median("percentile").alias("v"))
-    one = level(seen.where(F.col("method") == own)).groupBy("quintile").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("scoreable").cast("int")).alias("rankable"))
+    # The share is of all observations, rankable or not; where nothing is, the table is empty.
+    counted = F.sum(F.col("scoreable").cast("int") if scoreable_only else F.lit(1)).cast("double")
+    one = level(seen.where(F.col("method") == METHODS_FIRST)).groupBy("quintile").agg(F.nullif(counted, F.lit(0.0)).alias("n"), F.avg(F.col("scoreable").cast("int")).alias("rankable"))
     if scoreable_only:
-        one = level(base.where(F.col("method") == own)).groupBy("quintile").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("scoreable").cast("int")).alias("rankable"))
+        one = one.join(base.select(F.lit(True).alias("_any")).limit(1), how="cross").drop("_any")
     extra = one.select(F.explode(F.array(F.struct(F.lit("n").alias("row"), F.col("n").alias("v")), F.struct(F.lit("rankable").alias("row"), F.col("rankable").alias("v")))).alias("x"), "quintile").select("x.row", "quintile", "x.v")
     return med.unionByName(extra).groupBy("row").pivot("quintile", ["Q1", "Q2", "Q3", "Q4", "Q5", "ALL"]).agg(F.first("v"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from ..functions.titles import KEY_ARTICLES, SHOWN_ARTICLES
 
 SEED = 20260730
+#: Support under which the rankable-only table leaves items out: some, at every size of the tables.
+RANKABLE_FLOOR = 0.5
 
 
 def _list(words) -> str:
@@ -244,10 +246,10 @@ _QS = ("Q1", "Q2", "Q3", "Q4", "Q5")
 
 def _table(obs: str, where: str = "true") -> str:
     cell = lambda f: ", ".join([*(f"round({f} FILTER (WHERE quintile = '{x}'), 6) AS {x}" for x in _QS), f'round({f}, 6) AS "ALL"'])
-    own = f"FROM {obs} WHERE method = 'item-item CF' AND {where}"
+    own = f"FROM {obs} WHERE method = 'item-item CF'"
     return f"""SELECT method AS row, {cell("median(percentile)")} FROM {obs} WHERE {where} GROUP BY method
-UNION ALL SELECT 'n', {", ".join(f"CAST(nullif(count(*) FILTER (WHERE quintile = '{x}'), 0) AS DOUBLE)" for x in _QS)}, CAST(count(*) AS DOUBLE) {own}
-UNION ALL SELECT 'rankable', {cell("avg(CAST(scoreable AS INTEGER))")} {own}"""
+UNION ALL SELECT 'n', {", ".join(f"CAST(nullif(count(*) FILTER (WHERE quintile = '{x}'), 0) AS DOUBLE)" for x in _QS)}, CAST(count(*) AS DOUBLE) {own} AND {where} HAVING count(*) > 0
+UNION ALL SELECT 'rankable', {cell("avg(CAST(scoreable AS INTEGER))")} {own} HAVING count(*) FILTER (WHERE {where}) > 0"""
 
 
 def _metrics() -> str:
@@ -317,8 +319,8 @@ pfilms AS (SELECT a."user", title, year, rating,
   FROM aged a LEFT JOIN (SELECT "user", median(age) AS mid FROM aged GROUP BY 1) m USING ("user"))"""
 
 _FILTERED = "".join(
-    f"""f{p}i AS (SELECT * FROM {src} WHERE item IN (SELECT item FROM {src} GROUP BY item HAVING count(*) >= 25)),
-f{p}u AS (SELECT * FROM f{p}i WHERE "user" IN (SELECT "user" FROM f{p}i GROUP BY "user" HAVING count(*) >= 35)){"," if p == 1 else ""}
+    f"""f{p}i AS (SELECT * FROM {src} WHERE item IN (SELECT item FROM {src} GROUP BY item HAVING count(*) >= 22)),
+f{p}u AS (SELECT * FROM f{p}i WHERE "user" IN (SELECT "user" FROM f{p}i GROUP BY "user" HAVING count(*) >= 30)){"," if p == 1 else ""}
 """
     for p, src in ((1, "li"), (2, "f1u"))
 )
@@ -396,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
         "strata": q('SELECT "user", method, quintile, CAST(sum(n) AS BIGINT) AS n, round(sum(m * n) / sum(n), 6) AS median_percentile FROM (SELECT "user", split, method, quintile, count(*) AS n, median(percentile) AS m FROM obs GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3', *EVALUATED, *obs),
         "split_average": q('SELECT "user", method, quintile, round(sum(m) / 2.0e0, 6) AS median_percentile FROM (SELECT "user", split, method, quintile, median(percentile) AS m FROM obs GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3', *EVALUATED, *obs),
         "pooled_table": q(_table("obs"), *EVALUATED, *obs),
-        "pooled_table_rankable": q(_table("obs", "scoreable"), *EVALUATED, *_held(floor=6.0)),
+        "pooled_table_rankable": q(_table("obs", "scoreable"), *EVALUATED, *_held(floor=RANKABLE_FLOOR)),
         "config_sweep": q("\nUNION ALL ".join(f"SELECT '{n}' AS config, * FROM ({_table(f'obs{s}')}) WHERE row IN ('item-item CF', 'n', 'rankable')" for n, s, _ in sweep), *EVALUATED, *[c for _, s, kw in sweep for c in _held(s, **kw)]),
         "streaming_item_stats": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, count(*) AS n_events, round(avg(value), 6) AS mean_value, max(ts) AS last_ts FROM events GROUP BY 1",
     }

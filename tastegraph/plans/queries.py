@@ -21,6 +21,8 @@ DENSE = SimilarityConfig(shrinkage_lambda=60.0, top_k_neighbours=50)
 SPARSE = SimilarityConfig(shrinkage_lambda=2.0, top_k_neighbours=200)
 EVAL = EvalConfig(holdout_users=40, holdout_min=20, holdout_max=100_000, repeats=2, ks=(10, 20))
 EVAL_USERS = 10
+#: High enough for both passes to drop something.
+STAGING = StagingConfig(min_item_ratings=22, min_user_ratings=30)
 
 
 def query(f: Query) -> Query:
@@ -75,12 +77,12 @@ def user_stats(spark, d):
 @query
 def two_pass_filter(spark, d):
     fact = views.ratings_sparse(spark, d)
-    return ratings.two_pass_filter(fact, StagingConfig(min_item_ratings=25, min_user_ratings=35))
+    return ratings.two_pass_filter(fact, STAGING)
 
 
 @query
 def dense_index(spark, d):
-    fact = ratings.two_pass_filter(views.ratings_sparse(spark, d), StagingConfig(min_item_ratings=25, min_user_ratings=35))
+    fact = ratings.two_pass_filter(views.ratings_sparse(spark, d), STAGING)
     return ratings.index_ratings(fact)[0]
 
 
@@ -476,7 +478,7 @@ def pooled_table(spark, d):
 
 @query
 def pooled_table_rankable(spark, d):
-    rows, stats, _ = _held(spark, d, ScoringConfig(min_support=6.0))
+    rows, stats, _ = _held(spark, d, ScoringConfig(min_support=oracle.RANKABLE_FLOOR))
     return rounded(evaluation.pooled_table(evaluation.observations(rows, stats), scoreable_only=True), "Q1", "Q2", "Q3", "Q4", "Q5", "ALL")
 
 
