@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from .fixed import SHORT_TYPE, TELEVISION_TYPES
+
 
 @dataclass(frozen=True)
 class StagingConfig:
@@ -60,9 +62,9 @@ class ScoringConfig:
 @dataclass(frozen=True)
 class PresentationConfig:
     drop_non_films: bool = True
-    drop_title_types: tuple[str, ...] = ("tvEpisode", "tvMiniSeries", "tvPilot", "tvSeries", "tvShort", "tvSpecial")
+    drop_title_types: tuple[str, ...] = TELEVISION_TYPES
     include_shorts: bool = True
-    short_type: str = "short"
+    short_type: str = SHORT_TYPE
     dedupe_same_work: bool = True
     dedupe_against_seen: bool = True
     max_per_series: int = 2  # 0: no cap

@@ -11,10 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Articles that a catalogue moves behind a comma or that one side drops, for matching keys.
-KEY_ARTICLES = tuple(sorted("the a an le la les l' il el los las der die das ein eine de het en et os as".split()[::-1]))
-#: Articles that are turned back for display and work keys.
-SHOWN_ARTICLES = tuple(sorted({*KEY_ARTICLES, "l’", "lo", "o", "un", "una", "uno", "i", "gli"}))
+from ..fixed import KEY_ARTICLES, NUMBER_WORDS, PART_WORDS, ROMAN_LETTERS, SHOWN_ARTICLES
 
 _FOLDED = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in range(0xC0, 0x250)}
 _ONE = {k: v for k, v in _FOLDED.items() if v != k and len(v) == 1}
@@ -127,11 +124,10 @@ def simplify(c: Column) -> Column:
     return _words(F.lower(F.regexp_replace(c, _PARENS, " ")))
 
 
-_NUMBER = "|".join(["[0-9]+", "[cdilmvx]+", *sorted("one two three four five six seven eight nine ten".split())])
 #: A word for a part, its number, and whatever follows.
-_PART = rf"(?iU)[\s:;,-]+(?:book|chapter|episode|volume|vol\.?|part|pt\.?)\s*(?:{_NUMBER})\b.*$"
+_PART = rf"(?iU)[\s,:;-]+(?:{'|'.join(PART_WORDS)})\s*(?:[{ROMAN_LETTERS}]+|\d+|{'|'.join(NUMBER_WORDS)})\b.*$"
 #: A short Roman numeral at the end, or before a dash or colon and a subtitle.
-_ROMAN = r"(?iU)[\s;,-]+[cdilmvx]{1,5}\.?\s*(?:[:–—-]\s*.*)?$"
+_ROMAN = rf"(?iU)[\s,;-]+[{ROMAN_LETTERS}]{{1,5}}\.?\s*(?:[-–—:]\s*.*)?$"
 
 
 def strip_parts(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.titles import KEY_ARTICLES, SHOWN_ARTICLES
+from ..fixed import KEY_ARTICLES, NUMBER_WORDS, PART_WORDS, ROMAN_LETTERS, SHOWN_ARTICLES
 
 SEED = 20260730
 #: Support under which the rankable-only table leaves items out: some, at every size of the tables.
@@ -78,9 +78,8 @@ def simple(x: str) -> str:
     return words(rf"lower(regexp_replace({x}, '\([^()]*\)', ' ', 'g'))")
 
 
-_NUMBERS = "ten|nine|eight|seven|six|five|four|three|two|one|[mdclxvi]+|\\d+"
-_PART = rf"(?i)[\s:;,-]+(?:volume|vol\.?|pt\.?|part|episode|chapter|book)\s*(?:{_NUMBERS})\b.*$"
-_ROMAN = r"(?i)[\s,;-]+[mdclxvi]{1,5}\.?\s*(?:[-–—:]\s*.*)?$"
+_PART = rf"(?i)[\s,:;-]+(?:{'|'.join(PART_WORDS)})\s*(?:[{ROMAN_LETTERS}]+|\d+|{'|'.join(NUMBER_WORDS)})\b.*$"
+_ROMAN = rf"(?i)[\s,;-]+[{ROMAN_LETTERS}]{{1,5}}\.?\s*(?:[-–—:]\s*.*)?$"
 
 
 def parts(x: str) -> str:

@@ -16,13 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixed import EXPORT_FILES, HEADERS
 from ..functions.titles import strip
 from ..operators.profile import seen_titles
 
-FILES = {"ratings": "ratings.csv", "diary": "diary.csv", "reviews": "reviews.csv", "watchlist": "watchlist.csv", "watched": "watched.csv", "likes": "likes/films.csv"}
 HIDDEN = ("deleted", "orphaned")
-#: Trimmed, lower-cased header -> column; other headers keep their lower-cased name.
-HEADERS = {"name": "title", "date": "logged_date", "watched date": "watched_date"}
 _URI = " uri"
 _EMPTY = T.StructType([T.StructField("logged_date", T.TimestampType()), T.StructField("title", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("lb_uri", T.StringType()), T.StructField("ord", T.LongType())])
 
@@ -123,7 +121,7 @@ def load_export(spark: SparkSession, path: str, shared_folder: str | None = None
     else:
         raise ValueError(f"an export is a folder or a .zip, not {source.suffix or 'a file without a suffix'}")
     tables, missing = {}, []
-    for name, rel in FILES.items():
+    for name, rel in EXPORT_FILES.items():
         try:
             found = find(rel)
             table = canonical(read_csv(spark, str(found))) if found else None
