@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
-from .frames import bucket, position, with_arrays
+from .frames import bounded, bucket, position, with_arrays
 from .ftrl import Ftrl, Model
 from .words import texts
 
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, kind: Kind, learn: Column | None = N
         index, weight = config.fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for _, _, s, v in got[: 2 * max_rows]], np.array([x[0] for x in got]))
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(weight, pa.float64())], ["at", "weight"])
 
-    extracted = slim.mapInArrow(extract, "_label double, _order long, _slots binary, _values binary")
+    extracted = bounded(slim).mapInArrow(extract, "_label double, _order long, _slots binary, _values binary")
     model = extracted.repartition(1).mapInArrow(train, "at long, weight double").toArrow()
     return model["at"].to_numpy(), model["weight"].to_numpy()
 

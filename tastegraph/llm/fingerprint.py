@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .frames import position, with_arrays
+from .frames import bounded, position, with_arrays
 
 U = np.uint64
 LENGTH, USUAL, SPAN = 64, 56, 7
+#: Characters of the texts that are compared at once.
+FLUSH = 4 << 20
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _ROLL = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -228,10 +230,10 @@ def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                     following.append(text)
                     size += len(text)
                 pending = None if extra else (doc, text, part)
-                if size > W.CHUNK or len(ids) >= 2048:
+                if size > FLUSH or len(ids) >= 2048:
                     yield flush(ids, these, following)
                     ids, these, following, size = [], [], [], 0
         if ids:
             yield flush(ids, these, following)
 
-    return ordered.mapInArrow(run, T.StructType([T.StructField(id_column, T.LongType()), *RESULT]))
+    return bounded(ordered).mapInArrow(run, T.StructType([T.StructField(id_column, T.LongType()), *RESULT]))

@@ -19,6 +19,21 @@ def bucket(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: Rows and bytes of an Arrow batch at most: a Python worker's memory then follows neither the table nor the setting's default of 10,000 texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, its session's Arrow batches bounded (smaller settings stay)."""
+    conf = df.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "0"))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict]]]) -> DataFrame:
     """All columns of df and new ones, made batch by batch in Python workers.
 
@@ -34,7 +49,7 @@ def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[I
             arrays = [batch.column(i) for i in places] + [x if isinstance(x := got[f.name], pa.Array) else pa.array(x) for f in fields]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in kept] + [f.name for f in fields])
 
-    return df.mapInArrow(run, T.StructType([*kept, *fields]))
+    return bounded(df).mapInArrow(run, T.StructType([*kept, *fields]))
 
 
 def position(df: DataFrame, name: str) -> int:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import position, with_arrays
+from .frames import bounded, position, with_arrays
 from .words import chunks, texts
 
 BUCKETS = 4096
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, learn: Column | None = None, id_column: str = "doc_id",
         w, right = fit_bits(np.stack([np.frombuffer(x[2], np.float32) for x in got]), y, codewords(len(langs)))
         yield pa.RecordBatch.from_arrays([pa.array([langs]), pa.array([w.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["langs", "w", "right"])
 
-    model = sample.mapInArrow(extract, "lang string, ord long, x binary").repartition(1).mapInArrow(train, "langs array<string>, w binary, right binary").toArrow().to_pylist()
+    model = bounded(sample).mapInArrow(extract, "lang string, ord long, x binary").repartition(1).mapInArrow(train, "langs array<string>, w binary, right binary").toArrow().to_pylist()
     if not model:
         return [], np.zeros((BUCKETS + 1, 1), np.float32), np.ones(1, np.float32)
     right = np.frombuffer(model[0]["right"], np.float32)

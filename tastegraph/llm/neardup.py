@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .frames import checkpointed
+from .frames import bounded, checkpointed
 
 U = np.uint64
 HALF, SKETCH, LEAST_EQUAL = 8, 32, 13
@@ -87,7 +87,7 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
             rest = np.concatenate([sign, np.array(sketch, np.int64).reshape(-1, 4), np.array(bands, np.int64).reshape(-1, HALF)], 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], _NAMES)
 
-    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in _NAMES))
+    return bounded(docs).mapInArrow(run, ", ".join(f"{x} long" for x in _NAMES))
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _full(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets(batch.column(1), n)], pa.binary())], ["node", "set"])
 
-    return docs.mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
+    return bounded(docs).mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -210,7 +210,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     full = _full(wanted, docs, n)
     with_a = pairs.join(full.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(full.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return bounded(both.select("a", "b", "set_a", "set_b")).mapInArrow(compare, "a long, b long")
 
 
 def hubs(pairs: DataFrame) -> DataFrame:
