@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[Span]:
 
 #: (kind, pattern). They may overlap one another and the base spans.
 GENERATORS = (
-    ("email", re.compile(r"(?i)(?<![\w.+-])[a-z0-9][\w.+-]{0,63} ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[a-z0-9-]{1,63}){1,4}(?![\w-])")),
+    ("email", re.compile(r"(?i)(?<![\w.+-])[a-z0-9][\w.+-]{0,63} ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[a-z0-9-]{1,63}){1,4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ .-][0-9]{2,5}){1,4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
