@@ -186,7 +186,7 @@ def examples(n: int = 4_000, seed: int = 3) -> tuple[list[list[float]], list[int
         bad = check(digit(15))
         bad = bad[:-1] + str((int(bad[-1]) + rng.randint(1, 9)) % 10)
         return rng.choice(
-            [f"{rng.randint(1900, 2035)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1900, 2035)}", f"{digit(2)}.{digit(2)}.{digit(2)}", bad, bad[:13], f"{bad[:4]} {bad[4:8]} {bad[8:12]} {bad[12:]}", f"{digit(4)} {digit(4)}", f"{digit(2)}-{digit(3)}", f"{digit(3)}-{digit(2)}-{digit(3)}", f"{rng.randint(0, 23):02d}:{digit(2)}:{digit(2)}", iban(False), f"{word()} (at) {word()}", f"{digit(5)}-{digit(5)}-{digit(3)}", f"9{digit(2)}-{digit(2)}-{digit(4)}", f"978-{digit(1)}-{digit(3)}-{digit(5)}-{digit(1)}", f"{digit(2)} {digit(2)} {digit(2)}"]
+            [f"{rng.randint(1900, 2035)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1900, 2035)}", f"{digit(2)}.{digit(2)}.{digit(2)}", bad, bad[:13], f"{bad[:4]} {bad[4:8]} {bad[8:12]} {bad[12:]}", f"{digit(4)} {digit(4)}", f"{digit(2)}-{digit(3)}", f"{digit(3)}-{digit(2)}-{digit(3)}", f"{rng.randint(0, 23):02d}:{digit(2)}:{digit(2)}", iban(False), f"{word()} (at) {word()}", f"{word()} (at) {digit(rng.randint(1, 2))}.{digit(2)}", f"{digit(5)}-{digit(5)}-{digit(3)}", f"9{digit(2)}-{digit(2)}-{digit(4)}", f"978-{digit(1)}-{digit(3)}-{digit(5)}-{digit(1)}", f"{digit(2)} {digit(2)} {digit(2)}"]
         )
 
     x, y, kinds = [], [], []
@@ -220,7 +220,12 @@ def fit() -> tuple[boosting.Boosted, dict[str, float]]:
         mine = kinds[~half] == kind
         order = np.argsort(-p[mine], kind="stable")
         precise = np.cumsum(y[~half][mine][order]) >= 0.99 * np.arange(1, mine.sum() + 1)
-        thresholds[kind] = max(0.5, float(p[mine][order][np.flatnonzero(precise)[-1]])) if precise.any() else 2.0
+        if not precise.any():
+            thresholds[kind] = 2.0
+            continue
+        sure = p[mine][order]
+        least = int(np.flatnonzero(precise)[-1])
+        thresholds[kind] = max(0.5, float(sure[least : least + 2].mean())) if least + 1 < len(sure) else 0.5  # halfway to the next candidate
     return model, thresholds
 
 
