@@ -232,8 +232,9 @@ def family_links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> D
     """Links (a, b) between different components within a hub's family; members: node, n, hub, component.
 
     Only members outside their hub's component are one side; all members are the other. Both sides are dealt into blocks, and every
-    pair of blocks is one group."""
-    of_hub = members.where("node = hub").select("hub", F.col("component").alias("hub_component"))
+    pair of blocks is one group. A hub may itself have another hub: it is among the members all the same, under that one, and its
+    pairs with its own family are confirmed already."""
+    of_hub = members.select("hub").distinct().join(members.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub")
     rows = members.join(of_hub, "hub").withColumn("stray", F.col("component") != F.col("hub_component"))
     weight = F.greatest(F.col("n"), F.lit(LEAST_SHINGLES))
     size = rows.groupBy("hub").agg(F.sum(weight).alias("every"), F.sum(F.when(F.col("stray"), weight).otherwise(F.lit(0))).alias("strays")).where("strays > 0")

@@ -101,6 +101,15 @@ def test_groups_odd_cases(odd, empty):
     assert got[4].component_id == 4 and got[7].n_shingles == 1
 
 
+def test_family_of_a_hub_with_another_hub(spark):
+    """Documents 2 and 3 gather around 1, and 1 around 4; neither 2 nor 3 is linked with 1."""
+    words = [f"w{i}" for i in range(50)]
+    docs = [(1, "a b c d"), (2, " ".join(words)), (3, " ".join([*words[:48], "x", "y"])), (4, "e f g h")]
+    members = [(1, 4, 4, 1), (2, 50, 1, 2), (3, 50, 1, 3), (4, 4, 4, 4)]
+    found = neardup.family_links(spark.createDataFrame(members, "node long, n long, hub long, component long"), spark.createDataFrame(docs, "doc_id long, text string"), 1, 80)
+    assert {tuple(sorted(x)) for x in found.collect()} == {(2, 3)}
+
+
 # chat
 
 
