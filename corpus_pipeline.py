@@ -24,11 +24,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): the least id, and of its rows the first by text.
+    """One row of each group of near duplicates (five words, 0.8): the least id.
 
-    A null id stands for the text's hash below zero, so that documents without an id take part."""
+    Rows of one id are one document only if their texts are equal (or all without words) or in one group: the text with the least hash keeps the id,
+    others get one above all ids, from id and text. A null id stands for the text's hash below zero, so that documents without an id take part."""
     own = F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62)))
-    rows = docs.withColumn("_id", own)
+    worded = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.lit(""))
+    rows = docs.withColumn("_id", own).withColumn("_hash", F.xxhash64(worded))
+    several = rows.groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most")).where("_least < _most").drop("_most")
+    other = F.lit(1 << 62) + F.pmod(F.xxhash64("_id", "_hash"), F.lit(1 << 62))
+    rows = rows.join(several, "_id", "left").withColumn("_id", F.when(F.col("_hash") > F.col("_least"), other).otherwise(F.col("_id")))
     found = neardup.groups(rows, n=5, percent=80, id_column="_id").where("kept").select(F.col("doc_id").alias("_id")).distinct()
     first = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
     return rows.join(found, "_id", "left_semi").withColumn("_row", first).where("_row = 1").select(docs.columns)

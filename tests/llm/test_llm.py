@@ -351,3 +351,12 @@ def test_pipeline(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = decontaminate.brute([x for x in rows if x[0] in kept["near_duplicates"]], items)
     assert kept["decontaminate"] == {d for d, (n, hit, _) in clean.items() if not (hit and 20 * hit >= n)}
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(1, a), (1, b), (1, b), (1, b.upper()), (2, b), (3, c), (3, c), (4, ""), (4, " "), (4, None)]
+    found = p.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted((r.text or "").lower().strip() for r in found) == ["", a, b, c]
