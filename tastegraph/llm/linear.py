@@ -99,7 +99,7 @@ def quality_parts(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tupl
     parts = []
     words = W.split(data, offsets, W.ALNUM)
     shapes = W.split(*_shaped(data, offsets), W.Alphabet(bytes([32, *range(9, 14)]), fold=False))
-    for stream, (tokens, orders) in enumerate(((words, (1,)), (shapes, (1, 2, 3)))):
+    for stream, (tokens, orders) in enumerate(((words, (1, 2)), (shapes, (1, 2, 3)))):
         for n in orders:
             text = tokens.text_of()
             g = W.grams(tokens.hashes, n)

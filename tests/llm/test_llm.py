@@ -69,6 +69,18 @@ def test_word_stems_generalise(spark):
     assert all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in seen)
 
 
+def test_quality_reads_word_pairs(spark):
+    """The same words in either class, in pairs that are turned round in one of them."""
+    rng = random.Random(1)
+    pairs = [(f"{a}one", f"{a}two") for a in ("ba", "be", "bi", "bo", "bu", "da")]
+    text = lambda good: " ".join(" ".join(x if good else x[::-1]) for x in rng.choices(pairs, k=20))
+    df = spark.createDataFrame([(i, text(i % 2), None) for i in range(600)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    model = classify.fit(df, labels, classify.QUALITY, F.col("doc_id") < 400)
+    seen = classify.score(df.where("doc_id >= 400"), model, classify.QUALITY).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in seen) >= 190
+
+
 # near duplicates
 
 
