@@ -11,11 +11,12 @@ raised while there are more than LENGTH; the signature at k + 1 is kept too, so
 Likeness is 1 - edit distance / longer length, the best over common block sizes; 0 if there is none, 1 for equal fingerprints.
 Edit distances run bit-parallel (Myers) over many pairs at once: a signature has at most 64 characters, one machine word.
 
-``edited`` pairs each text with the next one by id without a global sort in one task: ids are dealt into ranges at percentiles, the
-first row of each range also goes to the range before it, and each range is read in order. One shuffle of the texts.
+``edited`` pairs each text with the next one by id without a global sort in one task: ids are dealt into ranges of about equal characters (percentiles of ids
+weighted by length, from a slim table of ids, hashes and lengths), an id that fills several ranges is parted by its texts' hashes, the first row of each
+range also goes to the range before it, and each range is read in order in bounded memory. One shuffle of the texts, one range to a task.
 
-Defined cases: null is as empty; an empty text's fingerprint is ``0::``; rows with equal ids are ordered by text; a null id sorts
-first; the last row's next is the first of all (a single row's next is itself); in an empty table the result is empty.
+Defined cases: null is as empty; an empty text's fingerprint is ``0::``; rows with equal ids are ordered by a hash of their text, then by text; a null id sorts
+first; the last row's next is the first of all (a single row's next is itself); in an empty table the result is empty; extra columns are ignored by ``edited``.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .frames import bounded, position, with_arrays
+from .frames import bounded, checkpointed, position, with_arrays
 
 U = np.uint64
 LENGTH, USUAL, SPAN = 64, 56, 7
@@ -181,27 +182,57 @@ RESULT = T.StructType(
 )
 
 
+#: Characters of a range, about, and the most ranges (beyond that they grow; a range is read in a stream).
+RANGE_CHARS, MAX_RANGES = 32 << 20, 20_000
+_NULL_ID = -(2**63)
+
+
+def _at_most(marks: np.ndarray, key: Column) -> Column:
+    """How many of the ascending marks are no greater than the key: among every c-th first, then among the c that follow."""
+    c = max(1, int(len(marks) ** 0.5))
+    count = lambda of: F.size(F.filter(of, lambda m: m <= key))
+    block = count(F.lit(marks[::c])) - 1
+    return F.when(block < 0, F.lit(0)).otherwise(block * c + count(F.slice(F.lit(marks), block * c + 1, F.lit(c))))
+
+
+def ranges_of(slim: DataFrame, least: int) -> tuple[int, Column]:
+    """(number of ranges, range of a row) for rows (key, order, size): in order of (key, order), about equal sums of size."""
+    total, rows = slim.agg(F.sum("size"), F.count(F.lit(1))).first()
+    n = min(max(least, -(-int(total or 0) // RANGE_CHARS)), MAX_RANGES)
+    if n < 2 or not rows:
+        return 1, F.lit(0)
+    often = slim.select("key", F.explode(F.sequence(F.lit(1), F.ceil(F.col("size") * F.lit(rows / max(total, 1))).cast("int"))))  # at most twice the rows
+    found = np.array(often.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("at")).first()["at"], np.int64)
+    marks, times = np.unique(found, return_counts=True)
+    base = np.cumsum(times) - times + 1  # range 0 is before the first mark
+    at = _at_most(marks, F.col("key")) - 1
+    of = lambda x: F.get(F.lit(x.astype(np.int64)), at)
+    part = F.least(F.floor(F.col("order") / F.lit(2.0**63) * of(times)), of(times) - 1)
+    return n, F.when(at < 0, F.lit(0)).otherwise(of(base) + F.when(F.col("key") == of(marks), part).otherwise(of(times) - 1)).cast("int")
+
+
 def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranges: int | None = None) -> DataFrame:
-    """id and RESULT for each row: its fingerprint, that of its edited text, and both likenesses."""
+    """id and RESULT for each row: its fingerprint, that of its edited text, and both likenesses. ``ranges``: at least so many."""
     spark = docs.sparkSession
-    ranges = ranges or max(24, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    found = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10_000).alias("at")).first()["at"] or []
-    marks = sorted(set(found))  # at most ``ranges`` numbers
-    n = len(marks) + 1
-    place = F.coalesce(F.aggregate(F.array(*[F.lit(x) for x in marks]), F.lit(0), lambda a, m: a + (F.col("id") >= m).cast("int")), F.lit(0)) if marks else F.lit(0)
-    dealt = rows.withColumn("range", place)
-    firsts = {r["range"]: r["id"] for r in dealt.groupBy("range").agg(F.min(F.struct(F.coalesce(F.col("id"), F.lit(-(2**63))).alias("id"))).getField("id").alias("id")).collect()}
+    rows = rows.withColumns({"key": F.coalesce("id", F.lit(_NULL_ID)), "order": F.shiftrightunsigned(F.xxhash64("text"), 1)})
+    slim = checkpointed(rows.select("key", "order", (F.length("text") + 64).cast("long").alias("size")))
+    n, place = ranges_of(slim, ranges or spark.sparkContext.defaultParallelism)
+    firsts = {r["range"]: r["first"] for r in slim.groupBy(place.alias("range")).agg(F.min(F.struct("key", "order")).alias("first")).collect()}  # at most n
     used = sorted(firsts)  # the ranges that have rows, in order
     if not used:
         return spark.createDataFrame([], T.StructType([T.StructField(id_column, T.LongType()), *RESULT]))
-    before = {r: used[i - 1] for i, r in enumerate(used)}  # the first range's first row also ends the last range
-    # Every row of a range's first id goes along, so that its first by text is among them.
-    key = F.coalesce(F.col("id"), F.lit(-(2**63)))
-    target = F.create_map(*[F.lit(x) for r in used for x in (firsts[r], before[r])])[key]
-    copies = F.when(target.isNotNull(), F.array(F.struct(F.col("range").alias("part"), F.lit(0).alias("extra")), F.struct(target.alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct(F.col("range").alias("part"), F.lit(0).alias("extra"))))
-    spread = dealt.select("id", "text", F.explode(copies).alias("c")).select("id", "text", "c.part", "c.extra")
-    ordered = spread.repartition(n, "part").sortWithinPartitions("part", "extra", F.col("id").asc_nulls_first(), "text")
+    first_key, first_order, before = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
+    for i, r in enumerate(used):
+        first_key[r], first_order[r] = firsts[r]
+        before[r] = used[i - 1]  # the first range's first row also ends the last range
+    of = lambda x: F.get(F.lit(x), F.col("range"))
+    # Every row with a range's first id and hash goes along, so that its first by text is among them.
+    copy = lambda part, extra: F.struct(part.cast("int").alias("part"), F.lit(extra).alias("extra"))
+    is_first = (F.col("key") == of(first_key)) & (F.col("order") == of(first_order))
+    copies = F.when(is_first, F.array(copy(F.col("range"), 0), copy(of(before), 1))).otherwise(F.array(copy(F.col("range"), 0)))
+    spread = rows.withColumn("range", place).select("id", "text", "key", "order", F.explode(copies).alias("c"))
+    ordered = spread.select("id", "text", "c.part", "c.extra", "key", "order").repartitionById(n, "part").sortWithinPartitions("part", "extra", "key", "order", "text").select("id", "text", "part", "extra")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(ids: list, these: list[str], following: list[str]) -> pa.RecordBatch:
