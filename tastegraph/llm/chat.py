@@ -12,11 +12,11 @@ The roles user, assistant and system have capitalised headings; any other role s
 (also ``]`` as ``\r`` and ``:`` as ``\c``; a null role is ``[\n]``).
 
 ``parsed`` reads the turns back from that text. ``loss_mask`` has a character for each code point of it: ``1`` over the escaped
-texts of assistants, ``0`` elsewhere; the template is never under the mask.
+texts of assistants, ``0`` elsewhere; the template is never under the mask. ``masked`` reads what is under it.
 
 Defined cases: a null text is empty; a null role stays null; null conv_id groups as one conversation; turns sort by turn (nulls first),
 then role, then text, so ties and repeated rows have one result and repeated rows stay; an empty table has no conversations; extra
-columns are ignored. A conversation is one row of the result by the operator's meaning, so all of its turns meet in one task; nothing else does.
+columns are ignored, also such as have an output's name; a text may be as long as a string can be. A conversation is one row of the result by the operator's meaning, so all of its turns meet in one task; nothing else does.
 """
 
 from __future__ import annotations
@@ -87,11 +87,33 @@ def parsed(df: DataFrame, column: str = "formatted") -> DataFrame:
     return df.withColumn("turns", F.flatten(texts))
 
 
+#: Runs of the mask that are cut from one slice of the text, so that neither scans the whole text for each run.
+RUNS = 64
+
+
+def masked(text: Column, mask: Column) -> Column:
+    """The code points of ``text`` at the ones of ``mask``, in order: both are walked slice by slice, runs of equal mask characters inside each."""
+    runs = F.regexp_extract_all(mask, F.lit("0+|1+"), F.lit(0))
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(runs) / RUNS).cast("int") - 1, F.lit(0))), lambda i: F.slice(runs, i * RUNS + 1, F.lit(RUNS)))
+    start = lambda out: F.struct(F.lit(0).alias("at"), out.alias("out"))
+
+    def inside(part: Column, these: Column) -> Column:
+        step = lambda acc, r: F.struct((acc["at"] + F.length(r)).alias("at"), F.concat(acc["out"], F.when(F.startswith(r, F.lit("1")), part.substr(acc["at"] + 1, F.length(r))).otherwise(F.lit(""))).alias("out"))
+        return F.aggregate(these, start(F.lit("")), step, lambda acc: acc["out"])
+
+    def over(acc: Column, these: Column) -> Column:
+        size = F.aggregate(these, F.lit(0), lambda n, r: n + F.length(r))
+        found = F.get(F.transform(F.array(text.substr(acc["at"] + 1, size)), lambda part: inside(part, these)), F.lit(0))
+        return F.struct((acc["at"] + size).alias("at"), F.array_append(acc["out"], found).alias("out"))
+
+    return F.array_join(F.aggregate(slices, start(F.array().cast("array<string>")), over, lambda acc: acc["out"]), "")
+
+
 def digests(df: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: read back from ``formatted``."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: turns read back from ``formatted``, the loss from what is under ``loss_mask``."""
     read = parsed(df)
     said = F.array_join(F.transform("turns", lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = unescaped(masked(F.col("formatted"), F.col("loss_mask")))
     return read.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("_loss")).select(
         "conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )
