@@ -127,5 +127,43 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
+
+#: Every combination of up to three tokens is counted; the rest follows the definitions of ``urls``.
+_OP6 = rf"""
+WITH split AS (
+  SELECT page_id, url, row_number() OVER () AS k, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT page_id, url, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split
+), rules AS (SELECT * FROM (VALUES {_RULES}) AS r(h, p, verdict)
+), base AS (
+  SELECT *, (SELECT arg_max([h || p, verdict], length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS fit,
+    CASE WHEN host = '' THEN CAST([] AS VARCHAR[]) ELSE list_sort(list_distinct(list_concat(
+      list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host:' || x),
+      CASE WHEN regexp_extract(path, '^/([^/]+)', 1) <> '' THEN ['first:' || regexp_extract(path, '^/([^/]+)', 1)] ELSE CAST([] AS VARCHAR[]) END,
+      list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'query:' || split_part(x, '=', 1))))) END AS tokens
+  FROM named
+), labelled AS (SELECT k, tokens, fit[2] = 'block' AS block, md5(url)[1] >= '{urls.PRUNING}' AS mining FROM base WHERE fit IS NOT NULL AND len(tokens) > 0
+), flat AS (SELECT k, block, unnest(tokens) AS t FROM labelled WHERE mining
+), combos AS (
+  SELECT k, block, [t] AS ant FROM flat
+  UNION ALL SELECT a.k, a.block, [a.t, b.t] FROM flat a JOIN flat b ON a.k = b.k AND a.t < b.t
+  UNION ALL SELECT a.k, a.block, [a.t, b.t, c.t] FROM flat a JOIN flat b ON a.k = b.k AND a.t < b.t JOIN flat c ON b.k = c.k AND b.t < c.t
+), frequent AS (
+  SELECT ant, count(*) FILTER (WHERE block) / count(*) AS confidence FROM combos GROUP BY ant
+  HAVING count(*) FILTER (WHERE block) >= ceil(0.005e0 * (SELECT count(*) FROM labelled WHERE mining)) AND count(*) FILTER (WHERE block) / count(*) >= 0.9e0
+), firm AS (
+  SELECT ant, confidence FROM frequent JOIN labelled ON NOT mining AND list_has_all(tokens, ant) GROUP BY ant, confidence
+  HAVING count(*) FILTER (WHERE block) / count(*) >= 0.9e0
+), mined AS (
+  SELECT * FROM firm f WHERE NOT EXISTS (SELECT 1 FROM firm g WHERE len(g.ant) < len(f.ant) AND list_has_all(f.ant, g.ant) AND g.confidence >= f.confidence)
+), fired AS (SELECT k, max(confidence) AS confidence FROM base JOIN mined ON fit IS NULL AND list_has_all(tokens, ant) GROUP BY k
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, fit[1] AS rule, coalesce(fit[2], CASE WHEN confidence IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, confidence
+FROM base LEFT JOIN fired USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": _OP2, "op3_chat": _OP3, "op9_decontaminate": _OP9}
+    return {"op2_near_duplicates": _OP2, "op3_chat": _OP3, "op6_urls": _OP6, "op9_decontaminate": _OP9}

@@ -1,20 +1,23 @@
 """URL filters: explicit host and path rules, then association rules mined from labelled URLs.
 
 Explicit rules come first; the longest that fits decides. URLs that none fits are judged by mined rules: FP-growth finds token combinations
-that are frequent among labelled URLs, and those whose confidence for ``block`` is high enough block. Matching goes by inverted
-index: each mined rule is listed under its tokens, a URL's tokens look their rules up, and a rule fires when all of its tokens did.
-
-Labels for mining: by default the verdicts of the explicit rules on the URLs that they fit (``labelled``), or any column of the caller's.
-Tokens: ``host:`` labels (the top-level label and ``www`` and ``m`` included), ``first:`` path segment, ``query:`` parameter names. Pages without a verdict
-by rules or mining are allowed.
-
-Everything is DataFrame work: expressions, joins and Spark's own FP-growth. Mining is done on distinct token sets with their counts
-expanded by FP-growth's own conditional trees; what is broadcast is decided by Spark from measured sizes (the index joins by plain equality).
+that are frequent among labelled URLs, and those whose confidence for ``block`` is high enough, also among labelled URLs that were kept apart from mining,
+block. Matching goes by inverted index: each mined rule is listed under its tokens, a URL's tokens look their rules up, and a rule fires when all of its
+tokens did.
+
+Labels for mining: a column of the caller's (``block``, ``allow``, anything else or null: not labelled), or by default the verdicts of the explicit rules on the
+URLs that they fit. The latter say nothing new about the rules themselves; what is mined then are the hosts, paths and parameters that went with blocked URLs.
+Labelled URLs are dealt by hash (``parts``): 12 in 16 are mined, 4 in 16 prune, and ``measured`` deals a further 4 of the 12 out, to count right verdicts on
+URLs that neither step has seen. Tokens: ``host:`` labels (the top-level label and ``www`` and ``m`` included), ``first:`` path segment, ``query:`` parameter names. Pages
+without a verdict by rules or mining are allowed.
+
+Everything is DataFrame work: expressions, joins and Spark's own FP-growth, whose trees combine equal transactions before they are shuffled; what is
+broadcast is decided by Spark from measured sizes (the index joins by plain equality).
 Verdicts are computed once for each distinct token set, so that a host or URL with many copies costs one look-up, and joined back.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no rule, no tokens and verdict allow; equal rule lengths cannot fit
 one URL; repeated pages are judged alike; an empty table gives an empty result; without labelled URLs nothing is mined; extra columns are
-ignored (the page id and url are read).
+ignored (the page id, the url and the label are read); a url may be as long as a string can be.
 """
 
 from __future__ import annotations
@@ -69,15 +72,27 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.when(host != "", F.array_sort(F.array_distinct(every))), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, config: Mining = Mining()) -> DataFrame:
+#: First hexadecimal digits of a URL's md5: those below the first prune, those from the second on are left out by ``measured``.
+PRUNING, MEASURING = "4", "c"
+
+
+def part(url: Column) -> Column:
+    return F.substring(F.md5(url), 1, 1)
+
+
+def mine(labelled: DataFrame, pruning: DataFrame, config: Mining = Mining()) -> DataFrame:
     """(antecedent: sorted tokens, support, confidence, lift) of block rules, from rows (tokens, verdict).
 
-    A longer rule is dropped when a shorter one over a part of its tokens is at least as confident."""
+    A rule that never fires on the ``pruning`` rows, or not with that confidence, is dropped; then a longer rule is dropped when a shorter one over a part of
+    its tokens is at least as confident."""
     label = F.concat(F.lit("verdict:"), F.col("verdict"))
     items = labelled.where(F.size("tokens") > 0).select(F.array_append("tokens", label).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=config.support, minConfidence=config.confidence).fit(items)
     rules = model.associationRules.where((F.element_at("consequent", 1) == "verdict:block") & (F.size("antecedent") <= config.length))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "support", "confidence", "lift")
+    sets = pruning.where(F.size("tokens") > 0).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "block").alias("block"))
+    held = _matches(sets, rules).join(sets, "tokens").groupBy("antecedent").agg((F.sum("block") / F.sum("n")).alias("share")).where(F.col("share") >= config.confidence)
+    rules = rules.join(held.select("antecedent"), "antecedent", "left_semi")
     parts = rules.select(F.explode("antecedent").alias("token"), F.struct("antecedent", "confidence").alias("of"))
     # a shorter rule's least token is in the longer one, so candidates meet on that token only
     shorter = rules.select(F.element_at("antecedent", 1).alias("token"), F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"))
@@ -85,24 +100,50 @@ def mine(labelled: DataFrame, config: Mining = Mining()) -> DataFrame:
     return rules.join(beaten.select(F.col("of.antecedent").alias("antecedent")).distinct(), "antecedent", "left_anti")
 
 
+def _matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(tokens, antecedent, confidence) of distinct token sets and the rules all of whose tokens they have."""
+    index = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token"))
+    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return hits.groupBy("tokens", "antecedent").agg(F.count(F.lit(1)).alias("n"), F.first("confidence").alias("confidence")).where(F.col("n") == F.size("antecedent")).drop("n")
+
+
 def fired(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens, confidence) of distinct token sets in which some rule fires; the most confident counts."""
-    index = rules.withColumn("rule_id", F.xxhash64("antecedent")).select("rule_id", F.size("antecedent").alias("need"), "confidence", F.explode("antecedent").alias("token"))
-    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    whole = hits.groupBy("tokens", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("confidence").alias("confidence")).where("n = need")
-    return whole.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    return _matches(sets, rules).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, config: Mining = Mining()) -> DataFrame:
-    """page_id, host, path, rule, verdict, confidence (of the mined rule that blocked, else null)."""
-    base = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"))
+def described(pages: DataFrame, id_column: str, url_column: str, label_column: str | None, rules) -> DataFrame:
+    """page_id, url, host, path, fit, tokens, label."""
+    label = F.lit(None).cast("string") if label_column is None else F.col(label_column)
+    base = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), label.alias("label"))
     base = base.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     base = base.withColumns({"fit": fitting(F.col("host"), F.col("path"), rules), "tokens": tokens(F.col("url"), F.col("host"), F.col("path"))})
-    labelled = base.where(F.col("fit").isNotNull()).select("tokens", F.col("fit.verdict").alias("verdict"))
-    mined = mine(labelled, config)
+    return base.withColumn("label", F.col("fit.verdict")) if label_column is None else base
+
+
+def mined(base: DataFrame, config: Mining = Mining(), apart: bool = False) -> DataFrame:
+    """Rules from the labelled rows of ``described``; ``apart``: without those that ``measured`` counts."""
+    labelled = base.where(F.col("label").isin("block", "allow") & F.col("url").isNotNull()).select("tokens", F.col("label").alias("verdict"), part(F.col("url")).alias("part"))
+    learn = labelled.where(F.col("part") >= PRUNING)
+    return mine(learn.where(F.col("part") < MEASURING) if apart else learn, labelled.where(F.col("part") < PRUNING), config)
+
+
+def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, config: Mining = Mining(), label_column: str | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, confidence (of the mined rule that blocked, else null)."""
+    base = described(pages, id_column, url_column, label_column, rules)
     open_sets = base.where(F.col("fit").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
-    blocked = fired(open_sets, mined).withColumn("key", F.xxhash64("tokens")).select("key", F.col("tokens").alias("of"), "confidence")
+    blocked = fired(open_sets, mined(base, config)).withColumn("key", F.xxhash64("tokens")).select("key", F.col("tokens").alias("of"), "confidence")
     keyed = base.withColumn("key", F.when(F.col("fit").isNull(), F.xxhash64("tokens")))
     judged = keyed.join(blocked, (keyed["key"] == blocked["key"]) & (keyed["tokens"] == blocked["of"]), "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("confidence").isNotNull(), F.lit("block")), F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "confidence")
+
+
+def measured(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, config: Mining = Mining(), label_column: str | None = None) -> DataFrame:
+    """One row: n labelled URLs that neither mining nor pruning saw, block (labelled so), blocked (by mined rules alone) and right (both)."""
+    base = described(pages, id_column, url_column, label_column, rules)
+    rows = base.where(F.col("label").isin("block", "allow") & (part(F.col("url")) >= MEASURING)).select("tokens", "label")
+    sets = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "block").alias("block"))
+    hit = sets.join(fired(sets, mined(base, config, apart=True)), "tokens", "left")
+    on = F.col("confidence").isNotNull()
+    return hit.agg(F.sum("n").alias("n"), F.sum("block").alias("block"), F.sum(F.when(on, F.col("n")).otherwise(F.lit(0))).alias("blocked"), F.sum(F.when(on, F.col("block")).otherwise(F.lit(0))).alias("right"))
