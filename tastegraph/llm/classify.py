@@ -1,14 +1,14 @@
 """Toxicity and quality: FTRL-proximal logistic regression over hashed word n-grams.
 
 Fitting: at most ``max_rows`` labelled documents (those with the smallest hash of their id; a documented
-bound) are joined with a broadcast of the chosen ids, turned into hashed slots on the executors, and fitted
-in one executor task. What reaches the driver is the sparse model: the weights that L1 left, at most
+bound) are joined with a broadcast of the chosen ids, turned into hashed slots on the executors (at most 2**bits of them for a text,
+however long), reduced to one row for each id and label before they meet, and fitted in one executor task. What reaches the driver is the sparse model: the weights that L1 left, at most
 2**bits of 12 bytes (in practice some hundreds), which is broadcast for scoring. Scoring is one pass over
 whole texts without a shuffle.
 
 Defined cases: a null text scores like an empty one; an empty text scores by the bias alone (and, for
 quality, its length bucket); rows with a null label or id aren't learnt from; without labelled rows every
-score is 0.5; repeated rows and ties are scored row by row; an existing column with the name of the
+score is 0.5; of rows that share an id the text with the least hash is learnt from; repeated rows and ties are scored row by row; an existing column with the name of the
 output is replaced, other columns pass through.
 """
 
@@ -53,23 +53,24 @@ def fit(docs: DataFrame, labels: DataFrame, kind: Kind, learn: Column | None = N
     sample = rows.orderBy("_order", "_label").limit(max_rows)  # top-n: no full sort, max_rows short rows
     texts_of = docs.select(F.col(id_column), F.col(text_column).alias("_text")).join(F.broadcast(sample), id_column)
     bits, config, features = kind.config.bits, kind.config, kind.features
-    slim = texts_of.select("_label", "_order", "_text")
+    slim = texts_of.select("_label", "_order", "_text", F.xxhash64("_text").alias("_pick"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(features(texts(batch.column(2)), bits))
             slots = pa.array([x.astype(np.int32).tobytes() for x, _ in found], pa.binary())
             values = pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), slots, values], ["_label", "_order", "_slots", "_values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), slots, values], ["_label", "_order", "_pick", "_slots", "_values"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for b in batches for x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
-        got.sort(key=lambda x: (x[1], x[0], x[2]))
-        index, weight = config.fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for _, _, s, v in got[: 2 * max_rows]], np.array([x[0] for x in got]))
+        got.sort(key=lambda x: (x[1], x[0]))
+        index, weight = config.fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for _, _, s, v in got], np.array([x[0] for x in got]))
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(weight, pa.float64())], ["at", "weight"])
 
-    extracted = bounded(slim).mapInArrow(extract, "_label double, _order long, _slots binary, _values binary")
-    model = extracted.repartition(1).mapInArrow(train, "at long, weight double").toArrow()
+    extracted = bounded(slim).mapInArrow(extract, "_label double, _order long, _pick long, _slots binary, _values binary")
+    one = extracted.groupBy("_label", "_order").agg(F.min_by(F.struct("_slots", "_values"), "_pick").alias("_x"))
+    model = one.select("_label", "_order", "_x._slots", "_x._values").repartition(1).mapInArrow(train, "at long, weight double").toArrow()
     return model["at"].to_numpy(), model["weight"].to_numpy()
 
 

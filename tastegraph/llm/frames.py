@@ -24,7 +24,7 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, its session's Arrow batches bounded (smaller settings stay)."""
+    """df, its session's Arrow batches bounded (smaller settings stay). Spark reads both settings when a query runs, so they hold for the session from here on."""
     conf = df.sparkSession.conf
     rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "0"))
     if not 0 < rows <= BATCH_ROWS:
@@ -52,6 +52,18 @@ def with_arrays(df: DataFrame, fields: list[T.StructField], compute: Callable[[I
     return bounded(df).mapInArrow(run, T.StructType([*kept, *fields]))
 
 
+def held(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of docs, and all others as one struct ``row``: what operators add can't clash with a caller's names."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in columns] or [F.lit(True).alias("none")]
+    return docs.select(F.struct(*rest).alias("row"), *columns)
+
+
+def released(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs from what ``held`` made of them, some of them changed."""
+    inside = df.schema["row"].dataType.names
+    return df.select(*[changed.get(c, F.col("row").getField(c) if c in inside else F.col(c)).alias(c) for c in docs.columns])
+
+
 def position(df: DataFrame, name: str) -> int:
     """Where a column stands (names in any case, the first if several)."""
     return [x.lower() for x in df.columns].index(name.lower())

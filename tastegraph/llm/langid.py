@@ -3,10 +3,10 @@
 Every language has a codeword of +1/-1 bits; one binary logistic classifier over hashed byte n-grams of
 letters predicts each bit, and decoding takes the codeword with the least logistic loss, bits weighted by
 their classifier's accuracy on the training rows. Up to seven languages get the exhaustive code, more a seeded random
-code whose least row distance is the best of many draws. A small gap to the second codeword sets ``ambiguous``.
+code whose least row distance is the best of many draws (one draw beyond some thousands of languages, where distances gather around half). A small gap to the second codeword sets ``ambiguous``.
 
-Fitting takes about ``max_rows`` documents, shared evenly between languages by a hash of the id (a documented
-bound; counts come from all rows), in one executor task. The model is a matrix of BUCKETS x bits floats.
+Every language that occurs is learnt. Fitting takes about ``max_rows`` documents, or LEAST_ROWS for each language if that is more, shared evenly between
+languages by a hash of the id (a documented bound; counts come from all rows), in one executor task. The model is a matrix of BUCKETS x bits floats.
 Prediction is one pass over whole texts: n-gram counts by bincount, then one matrix product.
 
 Defined cases: null texts, and texts without any letter, are ``und`` with score 0; without training rows everything is
@@ -29,8 +29,8 @@ from .words import chunks, texts
 
 BUCKETS = 4096
 MAX_ROWS = 4_000
-#: Languages that are learnt, the most frequent first; it bounds the broadcast of their counts.
-MAX_LANGS = 1_024
+#: Rows of each language at least (as far as there are so many), so that many languages aren't learnt from nothing.
+LEAST_ROWS = 8
 #: Lower-cased ASCII letters, bytes of other scripts as they are, everything else 32.
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = _LETTER[65:91] = np.arange(97, 123)
@@ -81,6 +81,8 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(200):
         code = rng.choice([-1.0, 1.0], (n, bits)).astype(np.float32)
         code = code[:, np.abs(code.sum(0)) < n]  # each bit must separate something
+        if n > 4096:
+            return code
         far = (code.shape[1] - code @ code.T) / 2
         if (d := (far + np.eye(n) * 1e9).min()) > best_d:
             best, best_d = code, d
@@ -108,9 +110,9 @@ def fit(docs: DataFrame, learn: Column | None = None, id_column: str = "doc_id",
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.select(F.col(lang_column).alias("_lang"), F.col(text_column).alias("_text"), F.xxhash64(F.col(id_column).cast("string")).alias("_order"))
-    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS)
-    of = max(1, counts.count())
-    sample = rows.join(F.broadcast(counts), "_lang").where(F.pmod(F.col("_order"), F.lit(1 << 30)) < F.lit(float(max_rows) / of * (1 << 30)) / F.col("_n")).select("_lang", "_order", "_text")
+    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))  # one row for each language; how it is joined follows from its measured size
+    share = max(float(max_rows) / max(1, counts.count()), LEAST_ROWS)
+    sample = rows.join(counts, "_lang").where(F.pmod(F.col("_order"), F.lit(1 << 30)) < F.lit(share * (1 << 30)) / F.col("_n")).select("_lang", "_order", "_text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +125,8 @@ def fit(docs: DataFrame, learn: Column | None = None, id_column: str = "doc_id",
             return
         got.sort(key=lambda x: (x[1], x[0], x[2]))
         langs = sorted({x[0] for x in got})
-        y = np.array([langs.index(x[0]) for x in got])
+        number = {x: i for i, x in enumerate(langs)}
+        y = np.array([number[x[0]] for x in got])
         w, right = fit_bits(np.stack([np.frombuffer(x[2], np.float32) for x in got]), y, codewords(len(langs)))
         yield pa.RecordBatch.from_arrays([pa.array([langs]), pa.array([w.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], ["langs", "w", "right"])
 
