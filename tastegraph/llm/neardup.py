@@ -11,16 +11,20 @@ sequence as one). Two documents are linked if ``100 * |A and B| >= percent * |A
 3. No bucket emits all its pairs. Every member is paired with its bucket's centre, the member that meets most others over all buckets (grouped
    sums and maxima, combined before the shuffle), so a family of near copies has one centre nearly everywhere. Sizes and sketches sift
    the pairs, and full sets confirm them. Buckets of two are then complete.
-4. Families of near copies gather around hubs: a class's hub is the best connected of its sifted partners. Where a hub's
+4. Families of near copies gather around hubs: a class's hub is the best connected of the centres that it was sifted with (or itself). Where a hub's
    family isn't one component yet (members just too far from the hub may be near one another), its members' sets are compared in blocks of bounded
    size by one matrix product each, which yields only confirmed links between components.
 5. What remains in buckets of three or more - members of different components and different hubs - is compared pair by pair under the same
-   sieve inside the join (once, in the first bucket that they share), and confirmed. So no candidate pair that could still join two components is left out.
+   sieve inside the join (once, in the first bucket that they share), and confirmed. Of a bucket, only the members outside its largest component or hub are
+   one side, and a large bucket is dealt into blocks, so that it is neither one task nor all pairs. No candidate pair that could still join two components is left out.
 6. Components by large-star and small-star rounds, all distributed.
 
-Defined cases: null and empty texts, and those of white space only, have no shingles and are linked with nothing; rows of one doc_id are one document
-(each row gets its result); rows with a null doc_id get a null component and are kept; equal texts always share a component; extra columns are
-ignored by ``groups``.
+Texts aren't shuffled where the ids that are sought are some millions at most: a Bloom filter of up to FILTER_BITS picks the texts whose sets are made, and
+only those sets meet. Beyond that the filter saturates and sets of most texts are shuffled, which costs about the input once more; results don't change.
+
+Defined cases: null and empty texts, and those of white space only, have no shingles and are linked with nothing; rows of one doc_id are one document: if
+their texts differ, these are linked whatever their likeness (each row gets its own size); rows with a null doc_id get a null component and are kept; equal
+texts always share a component; extra columns are ignored by ``groups``; ids are below 2**62.
 """
 
 from __future__ import annotations
@@ -67,16 +71,30 @@ def sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 _SKETCH = [f"s{i}" for i in range(4)]  # 32 minhashes of 8 bits
 _BANDS = [f"b{i}" for i in range(HALF)]  # the two collections, two minhashes of 32 bits in each
-_NAMES = ["doc_id", "n_shingles", "h1", "h2", *_SKETCH, *_BANDS]
+_NAMES = ["doc_id", "node", "many", "n_shingles", "h1", "h2", *_SKETCH, *_BANDS]
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with ``many``, whether the id has several texts, and ``node``: the id for the text with words and the least hash, for other
+    texts of that id (those without words are equal) a number above all ids, from id and text. Null ids: null."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    order = F.struct((~worded).alias("none"), F.xxhash64(F.when(worded, F.col("text")).otherwise(F.lit(""))).alias("hash"))
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most").select("doc_id", "least")
+    several = checkpointed(several)
+    if several.isEmpty():
+        return docs.withColumns({"many": F.lit(False), "node": F.col("doc_id")})
+    rows = docs.withColumn("order", order).join(several, "doc_id", "left")
+    other = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "order"), F.lit(1 << 62))
+    return rows.withColumns({"many": F.col("least").isNotNull(), "node": F.when(F.col("order") > F.col("least"), other).otherwise(F.col("doc_id"))}).drop("order", "least")
 
 
 def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """Of (doc_id, text): size, signature, sketch and the two collections of minhashes."""
+    """Of (doc_id, node, many, text): size, signature, sketch and the two collections of minhashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, sign, sketch, bands = [], [], [], []
-            for found in sets(batch.column(1), n):
+            for found in sets(batch.column(3), n):
                 size.append(len(found))
                 low = W.mix(found ^ U(0x5851F42D4C957F2D))
                 sign.append((int(found.sum(dtype=np.uint64)), int(low.sum(dtype=np.uint64))))
@@ -85,9 +103,9 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
                 bands.append((m[: 2 * HALF] >> U(32)).astype(np.uint32).view(np.int64))
             sign = np.array(sign, np.uint64).reshape(-1, 2).view(np.int64)
             rest = np.concatenate([sign, np.array(sketch, np.int64).reshape(-1, 4), np.array(bands, np.int64).reshape(-1, HALF)], 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], _NAMES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], _NAMES)
 
-    return bounded(docs).mapInArrow(run, ", ".join(f"{x} long" for x in _NAMES))
+    return bounded(docs).mapInArrow(run, ", ".join(f"{x} {'boolean' if x == 'many' else 'long'}" for x in _NAMES))
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -144,8 +162,8 @@ def _prefixed(classes: DataFrame, p: str, *more: str) -> DataFrame:
     return classes.select(F.col("node").alias(p), *[F.col(c).alias(p + c) for c in ("n", "s0", "s1", "s2", "s3", *more)])
 
 
-#: Bits of the largest filter that is broadcast: 8 MB. Beyond some millions of wanted ids it lets more and more through, which the join drops.
-FILTER_BITS = 1 << 26
+#: Bits of the largest filter that is broadcast: 32 MB. Beyond some ten millions of wanted ids it lets more and more through, which the join drops.
+FILTER_BITS = 1 << 28
 
 
 def _bits(ids: np.ndarray, size: int) -> np.ndarray:
@@ -213,19 +231,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return bounded(both.select("a", "b", "set_a", "set_b")).mapInArrow(compare, "a long, b long")
 
 
-def hubs(pairs: DataFrame) -> DataFrame:
-    """(node, hub) of every node in pairs: the one with most pairs among itself and its partners (ties: the least id)."""
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    best = F.max(F.struct("d", (-F.col("other")).alias("id")))
-    partner = both.join(degree.withColumnRenamed("node", "other"), "other").groupBy("node").agg(best.alias("p"))
-    own = F.struct(F.col("d"), (-F.col("node")).alias("id"))
-    return partner.join(degree, "node").select("node", (-F.greatest("p", own)["id"]).alias("hub"))
+#: Under so many keys a centre meets its partners, so that a family's hub isn't one task.
+SALTS = 32
+
+
+def hubs(sifted: DataFrame) -> DataFrame:
+    """(node, hub) of every class in a sifted pair: the centre with most sifted partners among its own centres (and itself, if it is one; ties: the least id).
+
+    sifted: node, c (its centre)."""
+    degree = sifted.groupBy("c").agg(F.count(F.lit(1)).alias("d"))
+    salted = degree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rank = F.struct("d", (-F.col("c")).alias("id")).alias("best")
+    partner = sifted.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["c", "salt"]).select("node", rank)
+    own = degree.select(F.col("c").alias("node"), rank)
+    return partner.unionByName(own).groupBy("node").agg((-F.max("best")["id"]).alias("hub"))
 
 
 #: Shingles that one side of a block holds at most on average (or one set, if larger), and the least that a member counts as: they bound
 #: what meets in a task to some thousands of members.
-BLOCK_SHINGLES, LEAST_SHINGLES = 500_000, 250
+BLOCK_SHINGLES, LEAST_SHINGLES = 250_000, 250
 
 
 def family_links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -280,12 +304,50 @@ def family_links(members: DataFrame, docs: DataFrame, n: int, percent: int) -> D
     return dealt.join(full, "node").groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+#: Members of a bucket that one task of a block pair holds on either side, about.
+BLOCK_MEMBERS = 4_096
+
+
+def across_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one bucket, different components and different hubs that pass the sieve; rest: key, node, component, hub, n, sketch, bands.
+
+    Of a bucket, one side are the members outside its most frequent component (or hub, if that is more frequent), the other all: a large family with a few
+    strangers costs its size times the strangers. Both sides of a bucket with more than BLOCK_MEMBERS are dealt into blocks, and each pair of blocks is a join key of its own."""
+
+    def most(by: str) -> DataFrame:
+        each = rest.groupBy("key", by).agg(F.count(F.lit(1)).alias("of"))
+        return each.groupBy("key").agg(F.sum("of").alias("m"), F.max(F.struct("of", by)).alias(f"most_{by}"))
+
+    top = most("component").join(most("hub").drop("m"), "key")
+    common = F.greatest("most_component.of", "most_hub.of")
+    blocks = lambda c: F.ceil(c / BLOCK_MEMBERS).cast("int")
+    stranger = F.when(F.col("most_component.of") >= F.col("most_hub.of"), F.col("component") != F.col("most_component.component")).otherwise(F.col("hub") != F.col("most_hub.hub"))
+    rows = rest.join(top, "key").withColumns({"stranger": stranger, "left": blocks(F.col("m") - common), "right": blocks(F.col("m")), "_h": F.xxhash64("node")}).where("left > 0").drop("most_component", "most_hub", "m")
+    rows = checkpointed(rows)
+    more = ["stranger", "component", "hub", "n", *_SKETCH, *_BANDS]
+    place = lambda of: F.pmod("_h", F.col(of)).cast("int")
+
+    def side(df: DataFrame, p: str, own: str, own_of: str, other: str, other_of: str) -> DataFrame:
+        """Each row once for every block of the other side; where that has one block, nothing is multiplied."""
+        named = df.select("key", place(own_of).alias(own), other_of, F.col("node").alias(p), *[F.col(c).alias(p + c) for c in more])
+        one = named.where(F.col(other_of) == 1).withColumn(other, F.lit(0))
+        several = named.where(F.col(other_of) > 1).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_of) - 1)))
+        return one.unionByName(several).drop(other_of)
+
+    once = ~F.col("bstranger") | (F.col("a") < F.col("b"))  # two strangers meet on both sides
+    different = once & (F.col("acomponent") != F.col("bcomponent")) & (F.col("ahub") != F.col("bhub"))
+    met = side(rows.where("stranger"), "a", "i", "left", "j", "right").join(side(rows, "b", "j", "right", "i", "left"), ["key", "i", "j"])
+    return met.where(different & _first_key(F.col("key"), "a", "b") & _close("a", "b", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", versions: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row. ``versions``: ids may have several texts (False: the caller knows that none has)."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = checkpointed(profiles(docs, n))
+    docs = apart(docs) if versions else docs.withColumns({"many": F.lit(False), "node": F.col("doc_id")})
+    rows = checkpointed(profiles(docs.select("doc_id", "node", "many", "text"), n))
+    docs = docs.select(F.col("node").alias("doc_id"), "text")
     sketch = [F.first(c).alias(c) for c in (*_SKETCH, *_BANDS)]
-    classes = checkpointed(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), *sketch))
+    classes = checkpointed(rows.where("n_shingles > 0 AND node IS NOT NULL").groupBy("h1", "h2").agg(F.min("node").alias("node"), F.first("n_shingles").alias("n"), *sketch))
 
     keys = table_keys(classes)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -294,31 +356,37 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc
     heaviest = F.max(F.struct("w", (-F.col("node")).alias("id")))
     centres = shared.join(weight, "node").groupBy("key").agg((-heaviest["id"]).alias("c"))
     starred = checkpointed(shared.join(centres, "key"))
-    pairs = starred.where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    sifted = checkpointed(pairs.join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b").where(_close("a", "b", percent)).select("a", "b"))
-    links = checkpointed(confirmed(sifted, docs, n, percent))
+    pairs = starred.where("node <> c").select("node", "c").distinct()
+    met = pairs.withColumns({"a": F.least("node", "c"), "b": F.greatest("node", "c")}).join(_prefixed(classes, "a"), "a").join(_prefixed(classes, "b"), "b")
+    sifted = checkpointed(met.where(_close("a", "b", percent)).select("a", "b", "node", "c"))
+    links = confirmed(sifted.select("a", "b").distinct(), docs, n, percent)
+    if versions and not (several := rows.where("many AND n_shingles > 0")).isEmpty():
+        own = checkpointed(several.select("doc_id", "h1", "h2").distinct().join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node"))
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
+    links = checkpointed(links)
     found = components(links)
 
-    hub = checkpointed(hubs(sifted).join(found, "node", "left").select("node", "hub", F.coalesce("component", "node").alias("component")))
-    within = checkpointed(family_links(hub.join(classes.select("node", "n"), "node"), docs, n, percent))
+    hub = checkpointed(hubs(sifted))
+    placed = lambda df: df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    within = checkpointed(family_links(placed(hub).join(classes.select("node", "n"), "node"), docs, n, percent))
+    if not within.isEmpty():
+        links = checkpointed(links.unionByName(within))
+        found = components(links)
 
-    # Buckets of three or more whose members, the centre aside, lie in several components under several hubs. A pair that meets in
+    # Buckets of three or more whose members, the centre aside, still lie in several components under several hubs. A pair that meets in
     # several buckets is taken in the first: if one of them is the centre there, the pair is known already.
-    place = classes.select("node").join(hub, "node", "left").select("node", F.coalesce("hub", "node").alias("hub"), F.coalesce("component", "node").alias("component"))
+    place = placed(classes.select("node").join(hub, "node", "left").select("node", F.coalesce("hub", "node").alias("hub")))
     rest = starred.where("size > 2 AND node <> c").select("key", "node").join(place, "node")
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("hub").alias("u"), F.max("hub").alias("v")).where("x < y AND u < v").select("key")
     rest = checkpointed(rest.join(mixed, "key").join(classes.select("node", "n", *_SKETCH, *_BANDS), "node"))
-    side = lambda p: rest.select("key", *[F.col(c).alias(p + (c if c != "node" else "")) for c in ("node", "component", "hub", "n", *_SKETCH, *_BANDS)])
-    apart = (F.col("a") < F.col("b")) & (F.col("acomponent") != F.col("bcomponent")) & (F.col("ahub") != F.col("bhub"))
-    across = checkpointed(side("a").join(side("b"), "key").where(apart & _first_key(F.col("key"), "a", "b") & _close("a", "b", percent)).select("a", "b"))
-    more = within if across.isEmpty() else checkpointed(within.unionByName(confirmed(across, docs, n, percent)))
-    if not more.isEmpty():
+    across = checkpointed(across_pairs(rest, percent))
+    if not across.isEmpty() and not (more := checkpointed(confirmed(across, docs, n, percent))).isEmpty():
         found = components(links.unionByName(more))
 
     member = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(member, ["h1", "h2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked, alone = rows.where("n_shingles > 0 AND node IS NOT NULL"), rows.where("n_shingles = 0 OR node IS NULL")  # rows without a set share no join key
+    out = linked.join(member, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def brute(docs: list[tuple[int, str | None]], n: int, percent: int = 80) -> dict[int, tuple[int, int]]:
