@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
+from typing import Any
+
+from pyspark.sql import SparkSession
 
 from .fixed import SHORT_TYPE, TELEVISION_TYPES
 
@@ -83,6 +86,7 @@ class EvalConfig:
     seed: int = 20260730
     repeats: int = 10
     holdout_users: int = 300
+    holdout_share: float | None = None  # at most this share of the eligible users
     holdout_min: int = 150
     holdout_max: int = 1500
 
@@ -102,3 +106,43 @@ MODES = {
     "gem": Mode(0.40, max_popularity=3_000, min_support=0.01),
     "blindspot": Mode(0.0, min_popularity=20_000),
 }
+
+#: Settings of the parameter sweep: what each knob costs, against the settings before residual scoring.
+SWEEP = {
+    "before": ScoringConfig(use_residual_input=False, consensus_beta=0.0, rank_shrinkage_k=0.0, min_support=0.1, pred_gain=1.0),
+    "defaults": ScoringConfig(),
+    "min_support 0.10": ScoringConfig(min_support=0.10),
+    "min_support 0.01": ScoringConfig(min_support=0.01),
+    "no rank shrinkage": ScoringConfig(rank_shrinkage_k=0.0),
+    "beta 0.5": ScoringConfig(consensus_beta=0.5),
+    "beta 0.0": ScoringConfig(consensus_beta=0.0),
+    "alpha 0.0": ScoringConfig(popularity_alpha=0.0),
+    "alpha 0.4": ScoringConfig(popularity_alpha=0.4),
+}
+#: The old scorer and the new one side by side.
+COMPARE = {
+    "legacy": ScoringConfig(use_residual_input=False, consensus_beta=0.0),
+    "residual, beta 1.0": ScoringConfig(consensus_beta=1.0),
+    "residual, beta 0.5": ScoringConfig(consensus_beta=0.5),
+    "residual, beta 0.0": ScoringConfig(consensus_beta=0.0),
+}
+
+
+def from_session(spark: SparkSession, record: Any) -> Any:
+    """A configuration record with the fields that the session sets as ``tastegraph.<Record>.<field>`` (``none``: None)."""
+    found = {}
+    for f in fields(record):
+        value = spark.conf.get(f"tastegraph.{type(record).__name__}.{f.name}", None)
+        if value is None:
+            continue
+        now = getattr(record, f.name)
+        if value.lower() == "none":
+            found[f.name] = None
+        elif isinstance(now, bool):
+            found[f.name] = value.lower() == "true"
+        elif isinstance(now, tuple):
+            parts = [x.strip() for x in value.split(",") if x.strip()]
+            found[f.name] = tuple(type(now[0])(x) if now else x for x in parts)
+        else:
+            found[f.name] = value if isinstance(now, str) else int(value) if isinstance(now, int) else float(value)
+    return replace(record, **found)

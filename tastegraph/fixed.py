@@ -11,10 +11,9 @@ SHOWN_ARTICLES = (
     "der", "die", "das", "ein", "eine", "de", "het", "en", "et", "os", "as",
     "o", "un", "una", "uno", "i", "gli",
 )
-# Words for a part of a work, and its number.
-PART_WORDS = ("part", r"pt\.?", r"vol\.?", "volume", "chapter", "book", "episode")
-NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
-ROMAN_LETTERS = "ivxlcdm"
+# Patterns (any case) of a part marker with whatever follows it, and of a short Roman numeral at the end or before a subtitle.
+PART_PATTERN = r"[\s,:;-]+(?:part|pt\.?|vol\.?|volume|chapter|book|episode)\s*(?:[ivxlcdm]+|\d+|one|two|three|four|five|six|seven|eight|nine|ten)\b.*$"
+ROMAN_PATTERN = r"[\s,;-]+[ivxlcdm]{1,5}\.?\s*(?:[-–—:]\s*.*)?$"
 # Title types that aren't films, and the one of short films.
 TELEVISION_TYPES = ("tvEpisode", "tvSeries", "tvMiniSeries", "tvSpecial", "tvShort", "tvPilot")
 SHORT_TYPE = "short"

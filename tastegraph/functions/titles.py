@@ -8,10 +8,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed import KEY_ARTICLES, NUMBER_WORDS, PART_WORDS, ROMAN_LETTERS, SHOWN_ARTICLES
+from ..fixed import KEY_ARTICLES, PART_PATTERN, ROMAN_PATTERN, SHOWN_ARTICLES
 
 _FOLDED = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in range(0xC0, 0x250)}
 _ONE = {k: v for k, v in _FOLDED.items() if v != k and len(v) == 1}
@@ -43,7 +44,6 @@ def strip_accents(c: Column) -> Column:
 
 def nfkd(c: Column) -> Column:
     """As strip_accents for every script: decomposes by compatibility and drops marks (Arrow, batch by batch)."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
@@ -124,10 +124,7 @@ def simplify(c: Column) -> Column:
     return _words(F.lower(F.regexp_replace(c, _PARENS, " ")))
 
 
-#: A word for a part, its number, and whatever follows.
-_PART = rf"(?iU)[\s,:;-]+(?:{'|'.join(PART_WORDS)})\s*(?:[{ROMAN_LETTERS}]+|\d+|{'|'.join(NUMBER_WORDS)})\b.*$"
-#: A short Roman numeral at the end, or before a dash or colon and a subtitle.
-_ROMAN = rf"(?iU)[\s,;-]+[{ROMAN_LETTERS}]{{1,5}}\.?\s*(?:[-–—:]\s*.*)?$"
+_PART, _ROMAN = "(?iU)" + PART_PATTERN, "(?iU)" + ROMAN_PATTERN
 
 
 def strip_parts(c: Column) -> Column:

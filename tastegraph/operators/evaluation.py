@@ -5,13 +5,16 @@ Keys are (user, split); splits are ordered by md5, so every engine that has md5
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EvalConfig, ScoringConfig
 from . import scoring
 from .profile import keep_first
-from .ratings import popularity_band, popularity_cuts
+from .ratings import popularity_band, popularity_cuts, user_stats
 
 KEYS = ["user", "split"]
 #: method name -> (column that it ranks by, value of a missing one)
@@ -23,9 +26,13 @@ def draw(seed: int, *columns: str) -> Column:
 
 
 def eval_users(ratings: DataFrame, config: EvalConfig = EvalConfig(), n: int | None = None) -> DataFrame:
-    """n users (sorted) whose number of ratings lies in the eligible window, drawn by hash; ValueError if there are fewer."""
-    n = config.holdout_users if n is None else n
+    """n users (sorted) whose number of ratings lies in the eligible window, drawn by hash; ValueError if there are fewer.
+
+    Without ``n``: ``holdout_users``, or ``holdout_share`` of those that are eligible (rounded up) if that is set and fewer."""
+    asked, n = n, config.holdout_users if n is None else n
     counts = ratings.groupBy("user").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(config.holdout_min, config.holdout_max))
+    if asked is None and config.holdout_share is not None:
+        n = min(n, math.ceil(counts.count() * config.holdout_share))
     picked = counts.withColumn("_d", draw(config.seed, "user")).orderBy("_d", "user").limit(n).select("user")
     if (found := picked.count()) < n:
         raise ValueError(f"only {found} users have {config.holdout_min} to {config.holdout_max} ratings; {n} were asked for")
@@ -52,14 +59,57 @@ def held_out(halves: DataFrame, edges: DataFrame, stats: DataFrame, scoring_conf
     if exclude is not None:
         exclude = exclude.join(test.select(*KEYS, "item"), [k for k in KEYS if k in exclude.columns] + ["item"], "left_anti") if "split" in exclude.columns else test.select(*KEYS).distinct().join(exclude, "user").join(test.select(*KEYS, "item"), [*KEYS, "item"], "left_anti")
     scored = scoring.score(train, edges, stats, scoring_config, exclude, KEYS)
-    answers = test.select(*KEYS, "item", "rating", (F.col("z") >= config.relevant_z).alias("relevant"))
-    rows = scored.join(answers, [*KEYS, "item"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    rows = _answered(scored, test, config)
     rows = rows.withColumn("random", -F.conv(F.substring(draw(config.seed, "split", "user", "item"), 1, 12), 16, 10).cast("double"))
     for k, (by, fill) in enumerate(METHODS.values()):
         rows = scoring.rank(rows, KEYS, by, f"rank_{k}", fill)
     return rows.withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
 
 
+def _answered(scored: DataFrame, test: DataFrame, config: EvalConfig) -> DataFrame:
+    """Candidates with ``rating`` (of held-out items) and ``relevant``."""
+    answers = test.select(*KEYS, "item", "rating", (F.col("z") >= config.relevant_z).alias("relevant"))
+    return scored.join(answers, [*KEYS, "item"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+
+
+def sweep(halves: DataFrame, edges: DataFrame, stats: DataFrame, configs: Mapping[str, ScoringConfig], config: EvalConfig = EvalConfig()) -> DataFrame:
+    """config, user, split, item, quintile, percentile, scoreable of the relevant held-out items under every configuration.
+
+    A candidate's sums of evidence depend on a configuration only through ``use_residual_input``: they are joined and aggregated once for each of its two
+    values, and every configuration is one more struct of a candidate's row."""
+    train, test = halves.where("NOT test"), halves.where("test")
+    out = None
+    for residual in (True, False):
+        mine = {name: c for name, c in configs.items() if c.use_residual_input == residual}
+        if not mine:
+            continue
+        found = scoring.evidence(scoring.input_values(train, stats, next(iter(mine.values()))), edges, KEYS)
+        pool = scoring.candidates(train, found, stats, None, KEYS).join(stats.select("item", "n_ratings", "z_mean"), "item").join(F.broadcast(scoring.median_popularity(stats)))
+        each = []
+        for name, c in mine.items():
+            t = scoring.terms(c, F.col("num"), F.col("den"), F.col("z_mean"), F.col("n_ratings"), F.col("median_n"))
+            each.append(F.struct(F.lit(name).alias("config"), t["rank_score"].alias("rank_score"), t["scoreable"].alias("scoreable")))
+        rows = _answered(pool, test, config).withColumn("c", F.explode(F.array(*each))).select(*KEYS, "item", "n_ratings", "relevant", "c.*")
+        rows = scoring.rank(rows, ["config", *KEYS], "rank_score", "rank").withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("config", *KEYS)))
+        out = rows if out is None else out.unionByName(rows)
+    found = out.where("relevant").join(F.broadcast(popularity_cuts(stats)))
+    return found.select("config", *KEYS, "item", popularity_band().alias("quintile"), (1 - (F.col("rank") - 1) / F.greatest(F.col("candidates") - 1, F.lit(1))).alias("percentile"), "scoreable")
+
+
+def sweep_table(seen: DataFrame) -> DataFrame:
+    """config, n, rankable, Q1..Q5 (median percentiles), ALL, Q1_3 (mean of those of Q1 to Q3 that there are)."""
+    level = seen.withColumn("quintile", F.explode(F.array(F.col("quintile"), F.lit("ALL"))))
+    med = level.groupBy("config").pivot("quintile", ["Q1", "Q2", "Q3", "Q4", "Q5", "ALL"]).agg(F.median("percentile"))
+    share = seen.groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("scoreable").cast("int")).alias("rankable"))
+    return share.join(med, "config").withColumn("Q1_3", mean_of("Q1", "Q2", "Q3"))
+
+
+def mean_of(*columns: str) -> Column:
+    """The mean of the columns that aren't null; null if all are."""
+    known = F.filter(F.array(*columns), lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+
+
 def observations(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """user, split, method, quintile, rank, candidates, percentile, scoreable: relevant items only, under every method."""
     place = F.explode(F.array(*[F.struct(F.lit(name).alias("method"), F.col(f"rank_{k}").alias("rank")) for k, name in enumerate(METHODS)]))
@@ -131,12 +181,16 @@ def pooled_error(errors: DataFrame) -> DataFrame:
     return errors.groupBy("user").agg(*[F.avg(x).alias(x) for x in c]).agg(*[F.avg(x).alias(x) for x in c], F.count(F.lit(1)).alias("users"))
 
 
+def as_profiles(ratings: DataFrame, users: DataFrame, sigma_floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(rated with flat weights, user, mean, sigma) of some users of the corpus, shaped like members' profiles; ratings: user, item, rating, z."""
+    rated = ratings.join(users, "user", "left_semi").withColumn("weight", F.lit(1.0))
+    return rated, user_stats(rated, sigma_floor).select("user", "mean", "sigma")
+
+
 def evaluate_users(ratings: DataFrame, users: DataFrame, edges: DataFrame, stats: DataFrame, scoring_config: ScoringConfig = ScoringConfig(), config: EvalConfig = EvalConfig(), repeats: int = 2) -> tuple[DataFrame, DataFrame]:
     """(observations, errors) of many users: each is a profile with flat weights. ratings: user, item, rating, z."""
-    rated = ratings.join(users, "user", "left_semi").withColumn("weight", F.lit(1.0))
+    rated, scale = as_profiles(ratings, users)
     rows = held_out(splits(rated, config, repeats), edges, stats, scoring_config, None, config)
-    s = F.stddev_pop("rating")
-    scale = rated.groupBy("user").agg(F.avg("rating").alias("mean"), F.greatest(s, F.lit(0.5)).alias("sigma"))
     return observations(rows, stats), rating_error(rows, scale, scoring_config)
 
 

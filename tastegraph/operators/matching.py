@@ -53,13 +53,15 @@ def match_fuzzy(films: DataFrame, index: DataFrame, config: MatchConfig = MatchC
     distinct = asked.select("asked", "year").distinct()
     pool = index.where("item_year IS NOT NULL").groupBy("key", "item_year").agg(F.min("item").alias("item"))
     band = distinct.withColumn("item_year", F.explode(F.sequence(F.col("year") - t, F.col("year") + t)))
-    met = band.join(pool, "item_year")
-    compared = met.select("asked", "key").distinct()
-    sort_score = F.when(fuzzy.bound(F.col("asked"), F.col("key")) >= config.fuzzy_threshold, fuzzy.token_sort_ratio(F.col("asked"), F.col("key")))
     tokens = lambda c: F.split(c, " ")
+    near = fuzzy.bound(F.col("asked"), F.col("key")) >= config.fuzzy_threshold
     # a set ratio above 66.7 without any token in common would need near-equal strings; it is computed where tokens meet or lengths allow
-    set_score = F.when(F.arrays_overlap(tokens("asked"), tokens("key")) | (fuzzy.bound(F.col("asked"), F.col("key")) >= config.subset_threshold), fuzzy.token_set_ratio(F.col("asked"), F.col("key")))
-    compared = compared.withColumns({"by_sort": sort_score, "by_set": set_score})
+    within = F.arrays_overlap(tokens("asked"), tokens("key")) | (fuzzy.bound(F.col("asked"), F.col("key")) >= config.subset_threshold)
+    # pairs that can reach neither threshold leave inside the join, before anything is shuffled
+    met = band.join(pool, "item_year").where(near | ((F.col("item_year") == F.col("year")) & within))
+    compared = met.select("asked", "key").distinct().withColumns({"near": near, "within": within})
+    ask = lambda c: F.when(F.col(c), F.col("asked"))
+    compared = compared.select("asked", "key", fuzzy.token_sort_ratio(ask("near"), F.col("key")).alias("by_sort"), fuzzy.token_set_ratio(ask("within"), F.col("key")).alias("by_set"))
     rows = met.join(compared, ["asked", "key"])
     kind = F.when(F.col("by_sort") >= config.fuzzy_threshold, 1).when((F.col("item_year") == F.col("year")) & (F.col("by_set") >= config.subset_threshold), 2)
     value = F.when(F.col("kind") == 1, F.col("by_sort")).otherwise(F.col("by_set"))
@@ -87,6 +89,24 @@ def match(films: DataFrame, catalogue: DataFrame, config: MatchConfig = MatchCon
     return out
 
 
+def coverage(films: DataFrame, since: int = 2024) -> DataFrame:
+    """One row: n films from ``since`` on and their share of all (films without a year count as earlier)."""
+    late = F.coalesce((F.col("year") >= since).cast("int"), F.lit(0))
+    return films.agg(F.coalesce(F.sum(late), F.lit(0)).alias("n"), F.avg(late).alias("share"))
+
+
+def profile_line(matched: DataFrame, top: int = 3, width: int = 30) -> DataFrame:
+    """One row for one member: rated, matched, share, mean, spread, and the titles of the highest and lowest ratings (matched: title, rating, item, ord)."""
+
+    def ends(order) -> DataFrame:
+        first = matched.orderBy(order, "ord").limit(top).withColumn("_k", F.row_number().over(Window.orderBy(order, "ord")))  # of ``top`` rows
+        return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.substring("title", 1, width).alias("t")))), lambda x: x["t"]), " · ").alias("titles"))
+
+    hit = F.col("item").isNotNull()
+    one = matched.agg(F.count(F.lit(1)).alias("rated"), F.count_if(hit).alias("matched"), F.avg(hit.cast("int")).alias("share"), F.avg("rating").alias("mean"), F.stddev_pop("rating").alias("spread"))
+    return one.join(ends(F.desc("rating")).withColumnRenamed("titles", "loved"), how="cross").join(ends(F.asc("rating")).withColumnRenamed("titles", "hated"), how="cross")
+
+
 def report(matched: DataFrame) -> DataFrame:
     """method, n, share: how films were matched (``unmatched`` for the rest)."""
     total = matched.agg(F.count(F.lit(1)).alias("total"))

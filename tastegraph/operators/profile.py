@@ -87,3 +87,25 @@ def seen_titles(tables: Sequence[DataFrame], keys: Sequence[str] = ("user",)) ->
         t = t.select(*keys, "title", "year", F.lit(place).alias("_table"), (F.col("ord") if "ord" in t.columns else F.lit(0)).alias("_ord"))
         rows = t if rows is None else rows.unionByName(t)
     return keep_first(rows, [*keys, "title", "year"], "_table", "_ord").select(*keys, "title", "year")
+
+
+def extremes(films: DataFrame, n: int = 3, keys: Sequence[str] = ("user",)) -> DataFrame:
+    """keys, side (``loved`` or ``hated``), place, title, year, rating, z: the n highest and the n lowest z of each key (ties: the earlier row)."""
+    out = None
+    for side, order in (("loved", F.desc(F.round("z", 9))), ("hated", F.asc(F.round("z", 9)))):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "ord"))
+        one = films.withColumn("place", place).where(F.col("place") <= n).select(*keys, F.lit(side).alias("side"), "place", "title", "year", "rating", "z")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rated_exactly(films: DataFrame, rating: float = 5.0, n: int = 6, keys: Sequence[str] = ("user",)) -> DataFrame:
+    """The first n films of each key, in row order, that have exactly this rating."""
+    return films.where(F.col("rating") == rating).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where(F.col("place") <= n)
+
+
+def summary(films: DataFrame, stats: DataFrame, keys: Sequence[str] = ("user",)) -> DataFrame:
+    """keys, n, mean, sigma_raw, sigma, reference_date, warnings, reviewed, liked, and the least, median and most recency weight."""
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    by = films.groupBy(*keys).agg(count("has_review").alias("reviewed"), count("is_liked").alias("liked"), F.min("weight").alias("weight_min"), F.median("weight").alias("weight_median"), F.max("weight").alias("weight_max"))
+    return stats.select(*keys, "n", "mean", "sigma_raw", "sigma", "reference_date", "warnings").join(by, list(keys), "left")

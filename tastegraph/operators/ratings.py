@@ -27,14 +27,16 @@ def two_pass_filter(ratings: DataFrame, config: StagingConfig = StagingConfig())
 def dense_index(ids: DataFrame, column: str, output: str) -> DataFrame:
     """(column, output): distinct ids in order, numbered from 0 without a one-partition sort.
 
-    A range sort gives ordered partitions; each partition's rows are counted, and the running totals (one number for each
-    partition) are added to the place within the partition."""
-    ordered = ids.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column)
-    placed = ordered.withColumn("_p", F.spark_partition_id())
-    placed = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min(column).alias("_least"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(before), "_p").select(column, (F.col("_r") - 1 + F.col("_before")).cast("int").alias(output))
+    The least id of each partition of a range sort is collected (one value for each shuffle partition), and these values deal the ids into ranges: what
+    range an id is in follows from the id alone, however often and in however many partitions the plan runs. Each range is numbered by itself, and the
+    counts of the ranges before are added."""
+    known = ids.select(column).where(F.col(column).isNotNull()).distinct()
+    least = known.repartitionByRange(column).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(column).alias("_least")).collect()
+    marks = F.array(*[F.lit(x) for x in sorted(r["_least"] for r in least)]) if least else F.array().cast(f"array<{known.dtypes[0][1]}>")
+    placed = known.withColumn("_p", F.size(F.filter(marks, lambda m: m <= F.col(column))))
+    counts = {r["_p"]: r["_n"] for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    before = F.array(*[F.lit(sum(n for p, n in counts.items() if p < k)) for k in range(len(least) + 1)])
+    return placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(column))).select(column, (F.col("_r") - 1 + F.get(before, F.col("_p"))).cast("int").alias(output))
 
 
 def index_ratings(ratings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -77,13 +79,24 @@ def without_users(rows: DataFrame, users: DataFrame) -> DataFrame:
     return rows.join(users.select("user").distinct(), "user", "left_anti")
 
 
-def assert_disjoint(ratings: DataFrame, excluded: DataFrame, users: DataFrame) -> None:
-    """ValueError unless each of ``users`` was excluded from what the similarity was built on."""
-    kept = users.select("user").join(excluded.select("user"), "user", "left_anti")
-    if not kept.isEmpty():
+def assert_disjoint(built_on: DataFrame, users: DataFrame) -> None:
+    """ValueError if any of ``users`` is among the raters that the similarity was built on (their ratings, or any table with ``user``)."""
+    if not built_on.join(users.select("user"), "user", "left_semi").isEmpty():
         raise ValueError("some evaluation users were not excluded from the similarity build")
 
 
+def top_consensus(stats: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
+    """The n items with the highest z_mean (ties: the least item), with their place and metadata; stats: item, n_ratings, z_mean."""
+    top = stats.orderBy(F.desc(F.round("z_mean", 9)), "item").limit(n)
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("z_mean", 9)), "item"))  # of n rows
+    return top.withColumn("place", place).join(items, "item", "left")
+
+
+def fact_summary(ratings: DataFrame) -> DataFrame:
+    """One row: ratings, users, items (distinct)."""
+    return ratings.agg(F.count(F.lit(1)).alias("ratings"), F.countDistinct("user").alias("users"), F.countDistinct("item").alias("items"))
+
+
 def popularity_cuts(stats: DataFrame, at: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """One row with ``cuts``: exact quantiles of n_ratings over the catalogue, interpolated."""
     return stats.agg(F.percentile("n_ratings", F.array(*[F.lit(float(x)) for x in at])).alias("cuts"))

@@ -1,7 +1,8 @@
 """Item-item similarity: an all-pairs self-join on user, shrunk by support and cut to the strongest neighbours.
 
 Pairs grow with the square of a user's ratings. Only ``a.item < b.item`` is joined (half of the pairs) and mirrored after
-aggregation; the aggregation combines before its shuffle; a user with very many ratings is split by AQE's skew join.
+aggregation; the aggregation combines before its shuffle. The items of a user with more than BLOCK ratings are dealt into blocks, and each pair of blocks is
+a join key of its own, so that no user's pairs are one task; lighter users have one block and nothing is repeated for them.
 """
 
 from __future__ import annotations
@@ -26,11 +27,18 @@ def vectors(ratings: DataFrame, config: SimilarityConfig = SimilarityConfig(), e
     return z.select("user", "item", (F.col("z") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).alias("v"))
 
 
+#: Ratings of a user in one block.
+BLOCK = 1_024
+
+
 def pairs(v: DataFrame, config: SimilarityConfig = SimilarityConfig()) -> DataFrame:
     """i, j (i < j), sim, n_co: cosine over common raters, times n_co / (n_co + lambda)."""
-    a = v.select("user", F.col("item").alias("i"), F.col("v").alias("va"))
-    b = v.select("user", F.col("item").alias("j"), F.col("v").alias("vb"))
-    met = a.join(b, "user").where(F.col("i") < F.col("j"))
+    heavy = v.groupBy("user").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_of")).where("_of > 1")
+    v = v.join(heavy, "user", "left").withColumn("_of", F.coalesce("_of", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("item"), F.col("_of")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_of") - 1))
+    a = v.select("user", own.alias("_p"), every.alias("_q"), F.col("item").alias("i"), F.col("v").alias("va"))
+    b = v.select("user", every.alias("_p"), own.alias("_q"), F.col("item").alias("j"), F.col("v").alias("vb"))
+    met = a.join(b, ["user", "_p", "_q"]).where(F.col("i") < F.col("j"))
     n = F.count(F.lit(1))
     return met.groupBy("i", "j").agg((F.sum(F.col("va") * F.col("vb")) * n / F.greatest(n + F.lit(float(config.shrinkage_lambda)), F.lit(1e-9))).alias("sim"), n.alias("n_co"))
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from ..fixed import KEY_ARTICLES, NUMBER_WORDS, PART_WORDS, ROMAN_LETTERS, SHOWN_ARTICLES
+from ..fixed import KEY_ARTICLES, PART_PATTERN, ROMAN_PATTERN, SHOWN_ARTICLES
 
 SEED = 20260730
 #: Support under which the rankable-only table leaves items out: some, at every size of the tables.
 RANKABLE_FLOOR = 0.5
 
 
-def _list(words) -> str:
+def _in(words) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
@@ -39,13 +39,13 @@ def around_comma(x: str, group: int) -> str:
 
 def norm(x: str) -> str:
     def turned(s: str) -> str:
-        return let(around_comma(s, 2), lambda t: f"CASE WHEN {t} IN {_list(KEY_ARTICLES)} THEN {t} || ' ' || {around_comma(s, 1)} ELSE {s} END")
+        return let(around_comma(s, 2), lambda t: f"CASE WHEN {t} IN {_in(KEY_ARTICLES)} THEN {t} || ' ' || {around_comma(s, 1)} ELSE {s} END")
 
     return words(let(f"replace({strip(f'lower(strip_accents({x}))')}, '&', ' and ')", turned))
 
 
 def bare(k: str) -> str:
-    return f"CASE WHEN regexp_extract({k}, '(?s)^[^ ]* (.+)$', 1) <> '' AND split_part({k}, ' ', 1) IN {_list(KEY_ARTICLES)} THEN regexp_extract({k}, '(?s)^[^ ]* (.+)$', 1) ELSE {k} END"
+    return f"CASE WHEN regexp_extract({k}, '(?s)^[^ ]* (.+)$', 1) <> '' AND split_part({k}, ' ', 1) IN {_in(KEY_ARTICLES)} THEN regexp_extract({k}, '(?s)^[^ ]* (.+)$', 1) ELSE {k} END"
 
 
 def ordered_distinct(x: str) -> str:
@@ -69,7 +69,7 @@ def variants(x: str) -> str:
 def unrotate(x: str) -> str:
     def turned(t: str) -> str:
         joint = f"CASE WHEN {t} LIKE '%''' OR {t} LIKE '%’' THEN '' ELSE ' ' END"
-        return f"CASE WHEN lower({t}) IN {_list(SHOWN_ARTICLES)} THEN {t} || {joint} || {around_comma(x, 1)} ELSE {x} END"
+        return f"CASE WHEN lower({t}) IN {_in(SHOWN_ARTICLES)} THEN {t} || {joint} || {around_comma(x, 1)} ELSE {x} END"
 
     return let(around_comma(x, 2), turned)
 
@@ -78,8 +78,7 @@ def simple(x: str) -> str:
     return words(rf"lower(regexp_replace({x}, '\([^()]*\)', ' ', 'g'))")
 
 
-_PART = rf"(?i)[\s,:;-]+(?:{'|'.join(PART_WORDS)})\s*(?:[{ROMAN_LETTERS}]+|\d+|{'|'.join(NUMBER_WORDS)})\b.*$"
-_ROMAN = rf"(?i)[\s,;-]+[{ROMAN_LETTERS}]{{1,5}}\.?\s*(?:[-–—:]\s*.*)?$"
+_PART, _ROMAN = "(?i)" + PART_PATTERN, "(?i)" + ROMAN_PATTERN
 
 
 def parts(x: str) -> str:
@@ -135,8 +134,9 @@ MEMBERS = """members AS (SELECT o_custkey AS "user", 'Order ' || CAST(o_orderkey
 Z = """z AS (SELECT "user", item, rating, (rating - avg(rating) OVER w) / greatest(stddev_pop(rating) OVER w, 0.5e0) AS z FROM ev WINDOW w AS (PARTITION BY "user"))"""
 STATS = """stats AS (SELECT item, CAST(count(*) AS INTEGER) AS n_ratings, avg(rating) AS mean_rating, avg(z) * count(*) / (count(*) + 30.0e0) AS z_mean FROM z GROUP BY item)"""
 LI_STATS = "li_stats AS (SELECT item, CAST(count(*) AS INTEGER) AS n_ratings, avg(rating) AS mean_rating FROM li GROUP BY item)"
-RATED = """rated AS (SELECT "user", item, rating, z FROM z WHERE substr(md5("user" || ':' || item), 1, 1) < '8')"""
-HOLD = f"""hold AS (SELECT "user" FROM (SELECT "user" FROM ev GROUP BY "user" HAVING count(*) BETWEEN 20 AND 100000 ORDER BY md5('{SEED}:' || "user"), "user" LIMIT 10))"""
+RATED = """rated AS (SELECT "user", item, rating, z FROM z)"""
+HOLD = f"""eligible AS (SELECT "user" FROM ev GROUP BY "user" HAVING count(*) BETWEEN 20 AND 100000),
+hold AS (SELECT "user" FROM (SELECT "user", row_number() OVER (ORDER BY md5('{SEED}:' || "user"), "user") AS r FROM eligible) WHERE r <= least(300, ceil((SELECT count(*) FROM eligible) * 0.2e0)))"""
 
 
 def half(source: str = "z", centered: bool = False, lam: float = 60.0, where: str = "") -> str:
@@ -188,21 +188,27 @@ def _why(top: int, source: str) -> str:
 why AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user", candidate ORDER BY round(abs(contribution), 9) DESC, item) AS place FROM said) WHERE place <= {top})"""
 
 
+NAMED = f"""named AS (SELECT item, clean_title, title_type, {work("clean_title", "year")} AS work, {series("clean_title")} AS series, {bases("clean_title")} AS bases, {shown("clean_title")} AS shown FROM items),
+started AS (SELECT DISTINCT r."user", unnest(n.bases) AS base FROM rated r JOIN named n ON r.item = n.item)"""
+
+
+def _list(name: str, scores: str, window: str = "", filters: bool = True) -> str:
+    """``name``: a ranked list (place) out of a scores table."""
+    ranked = f"""{name}_r AS (SELECT s.*, n.clean_title, n.work, n.series, n.bases, row_number() OVER (PARTITION BY s."user" ORDER BY round(rank_score, 9) DESC, s.item) AS rank
+  FROM {scores} s JOIN named n ON s.item = n.item WHERE scoreable{window})"""
+    if not filters:
+        return f"{ranked}, {name} AS (SELECT *, rank AS place FROM {name}_r)"
+    return f"""{ranked},
+{name}_p AS (SELECT "user", item, unnest(bases) AS base FROM {name}_r WHERE work LIKE 'work::%'),
+{name}_0 AS (SELECT * FROM {name}_r r WHERE pred_z >= 0 AND n_neighbours >= 2
+  AND NOT EXISTS (SELECT 1 FROM {name}_p p JOIN started s ON p."user" = s."user" AND p.base = s.base WHERE p."user" = r."user" AND p.item = r.item)),
+{name}_1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user", work ORDER BY rank) AS a FROM {name}_0) WHERE a = 1),
+{name}_2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user", series ORDER BY rank) AS b FROM {name}_1) WHERE series IS NULL OR b <= 2),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY rank) AS place FROM {name}_2)"""
+
+
 def _recommend(alpha: float, floor: float = 0.03, least: int | None = None, most: int | None = None, filters: bool = True) -> str:
     window = (f" AND n_ratings >= {least}" if least is not None else "") + (f" AND n_ratings <= {most}" if most is not None else "")
-    named = f"""named AS (SELECT item, clean_title, title_type, {work("clean_title", "year")} AS work, {series("clean_title")} AS series, {bases("clean_title")} AS bases, {shown("clean_title")} AS shown FROM items)"""
-    ranked = f"""ranked AS (SELECT s.*, n.clean_title, n.work, n.series, n.bases, row_number() OVER (PARTITION BY s."user" ORDER BY round(rank_score, 9) DESC, s.item) AS rank
-  FROM scores s JOIN named n ON s.item = n.item WHERE scoreable{window})"""
-    if filters:
-        kept = """started AS (SELECT DISTINCT r."user", unnest(n.bases) AS base FROM rated r JOIN named n ON r.item = n.item),
-parted AS (SELECT "user", item, unnest(bases) AS base FROM ranked WHERE work LIKE 'work::%'),
-k0 AS (SELECT * FROM ranked r WHERE pred_z >= 0 AND n_neighbours >= 2
-  AND NOT EXISTS (SELECT 1 FROM parted p JOIN started s ON p."user" = s."user" AND p.base = s.base WHERE p."user" = r."user" AND p.item = r.item)),
-k1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user", work ORDER BY rank) AS a FROM k0) WHERE a = 1),
-k2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user", series ORDER BY rank) AS b FROM k1) WHERE series IS NULL OR b <= 2),
-kept AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY rank) AS place FROM k2)"""
-    else:
-        kept = "kept AS (SELECT *, rank AS place FROM ranked)"
     because = """firsts AS (SELECT w.*, n.shown, row_number() OVER (PARTITION BY w."user", candidate, lower(n.shown) ORDER BY place) AS a FROM why w JOIN named n ON n.item = w.item),
 three AS (SELECT *, row_number() OVER (PARTITION BY "user", candidate ORDER BY place) AS b FROM firsts WHERE a = 1),
 because AS (SELECT "user", candidate AS item, string_agg(CASE WHEN contribution > 0 THEN '+' ELSE '-' END || shown, ', ' ORDER BY b) AS because FROM three WHERE b <= 3 GROUP BY 1, 2),
@@ -210,7 +216,21 @@ scale AS (SELECT "user", avg(rating) AS mean, greatest(stddev_pop(rating), 0.5e0
     select = """SELECT l."user", CAST(place AS INTEGER) AS place, l.item, clean_title, round(rank_score, 6) AS rank_score, round(pred_z, 6) AS pred_z, round(pred_d, 6) AS pred_d, round(support, 6) AS support,
   n_neighbours, n_ratings, because, round(greatest(0.5e0, least(5.0e0, mean + sigma * 1.17e0 * pred_z)), 6) AS predicted_stars, round(greatest(0.5e0, least(5.0e0, mean + sigma * z_mean)), 6) AS crowd_stars
   FROM listed l JOIN scale USING ("user") LEFT JOIN because b ON b."user" = l."user" AND b.item = l.item"""
-    return q(select, *BUILD, RATED, ITEMS, named, scores(alpha=alpha, floor=floor, every=False), ranked, kept, "listed AS (SELECT * FROM kept WHERE place <= 10)", _why(12, "listed"), because)
+    return q(select, *BUILD, RATED, ITEMS, NAMED, scores(alpha=alpha, floor=floor, every=False), _list("kept", "scores", window, filters), "listed AS (SELECT * FROM kept WHERE place <= 10)", _why(12, "listed"), because)
+
+
+_DENIED = "title_type IN ('ECONOMY', 'PROMO')"
+
+
+def _sections() -> str:
+    """Three lists, the items of earlier ones left out of later ones."""
+    parts, before = [], ""
+    for k, (alpha, floor, window) in enumerate(((0.15, 0.03, ""), (0.4, 0.01, " AND n_ratings <= 3000"), (0.0, 0.03, " AND n_ratings >= 60"))):
+        allowed = f" AND NOT coalesce({_DENIED}, false){window}{before}"
+        parts += [scores(alpha=alpha, floor=floor, every=False, name=f"s{k}"), _list(f"l{k}", f"s{k}", allowed), f"""t{k} AS (SELECT "user", item, clean_title, place FROM l{k} WHERE place <= 5)"""]
+        before += f""" AND NOT EXISTS (SELECT 1 FROM t{k} t WHERE t."user" = s."user" AND t.item = s.item)"""
+    every = "\nUNION ALL ".join(f"""SELECT "user", '{name}' AS section, CAST(place AS INTEGER) AS place, item, clean_title FROM t{k}""" for k, name in enumerate(("balanced", "gem", "blindspot")))
+    return q(every, *BUILD, RATED, ITEMS, NAMED, *parts)
 
 
 # evaluation
@@ -251,6 +271,24 @@ UNION ALL SELECT 'n', {", ".join(f"CAST(nullif(count(*) FILTER (WHERE quintile =
 UNION ALL SELECT 'rankable', {cell("avg(CAST(scoreable AS INTEGER))")} {own} HAVING count(*) FILTER (WHERE {where}) > 0"""
 
 
+def _swept(configs: tuple) -> str:
+    """One row for each (name, arguments of scores), all over the same splits."""
+    cell = lambda x: f"round(median(percentile) FILTER (WHERE quintile = '{x}'), 6) AS {x}"
+    rows = "\nUNION ALL ".join(f"SELECT '{name}' AS config, * FROM obs{k} WHERE method = 'item-item CF'" for k, (name, _) in enumerate(configs))
+    table = f"""swept AS ({rows}),
+cells AS (SELECT config, count(*) AS n, round(avg(CAST(scoreable AS INTEGER)), 6) AS rankable, {", ".join(map(cell, _QS))}, round(median(percentile), 6) AS "ALL",
+  {", ".join(f"median(percentile) FILTER (WHERE quintile = '{x}') AS m{x}" for x in _QS[:3])} FROM swept GROUP BY config)"""
+    return q('SELECT config, n, rankable, Q1, Q2, Q3, Q4, Q5, "ALL", round(list_avg([mQ1, mQ2, mQ3]), 6) AS Q1_3 FROM cells', *EVALUATED, *[c for k, (_, kw) in enumerate(configs) for c in _held(str(k), **kw)], table)
+
+
+#: The settings of the two sweeps, as arguments of ``scores``.
+SWEEP = (
+    ("before", {"residual": False, "rank_k": 0.0, "floor": 0.1}), ("defaults", {}), ("min_support 0.10", {"floor": 0.1}), ("min_support 0.01", {"floor": 0.01}), ("no rank shrinkage", {"rank_k": 0.0}),
+    ("beta 0.5", {"beta": 0.5}), ("beta 0.0", {"beta": 0.0}), ("alpha 0.0", {"alpha": 0.0}), ("alpha 0.4", {"alpha": 0.4}),
+)
+COMPARE = (("legacy", {"residual": False}), ("residual, beta 1.0", {}), ("residual, beta 0.5", {"beta": 0.5}), ("residual, beta 0.0", {"beta": 0.0}))
+
+
 def _metrics() -> str:
     at = []
     for k in (10, 20):
@@ -330,7 +368,6 @@ def oracle_sql() -> dict[str, str]:
     both = "clean_title || CASE WHEN item % 3 <> 0 THEN ' (' || year || ')' ELSE ' ()' END"
     form = r"'(?s)^(.*?)\s*\((\d{4})\)\s*$'"
     obs = _held()
-    sweep = [("alpha 0", "0", {"alpha": 0.0}), ("alpha 0.4", "1", {"alpha": 0.4}), ("legacy", "2", {"residual": False, "rank_k": 0.0, "alpha": 0.0})]
     return {
         "z_scores": q('SELECT "user", item, round(z, 6) AS z FROM z', EV, Z),
         "user_stats": q('SELECT "user", count(*) AS n, round(avg(rating), 6) AS mean, round(stddev_pop(rating), 6) AS sigma_raw, round(greatest(stddev_pop(rating), 0.5e0), 6) AS sigma FROM ev GROUP BY 1', EV),
@@ -398,6 +435,24 @@ def oracle_sql() -> dict[str, str]:
         "split_average": q('SELECT "user", method, quintile, round(sum(m) / 2.0e0, 6) AS median_percentile FROM (SELECT "user", split, method, quintile, median(percentile) AS m FROM obs GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3', *EVALUATED, *obs),
         "pooled_table": q(_table("obs"), *EVALUATED, *obs),
         "pooled_table_rankable": q(_table("obs", "scoreable"), *EVALUATED, *_held(floor=RANKABLE_FLOOR)),
-        "config_sweep": q("\nUNION ALL ".join(f"SELECT '{n}' AS config, * FROM ({_table(f'obs{s}')}) WHERE row IN ('item-item CF', 'n', 'rankable')" for n, s, _ in sweep), *EVALUATED, *[c for _, s, kw in sweep for c in _held(s, **kw)]),
+        "config_sweep": _swept(SWEEP),
+        "config_compare": _swept(COMPARE),
+        "pooled_error": q('SELECT round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(mae_trivial), 6) AS mae_trivial, count(*) AS users FROM (SELECT "user", avg(mae) AS mae, avg(rmse) AS rmse, avg(mae_trivial) AS mae_trivial FROM (SELECT "user", split, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(abs(mean - rating)) AS mae_trivial FROM (SELECT r.*, mean, greatest(0.5e0, least(5.0e0, mean + sigma * 1.17e0 * pred_z)) - rating AS e FROM ranked r JOIN (SELECT "user", avg(rating) AS mean, greatest(stddev_pop(rating), 0.5e0) AS sigma FROM ev GROUP BY 1) USING ("user") WHERE rating IS NOT NULL AND scoreable) GROUP BY 1, 2) GROUP BY 1)', *EVALUATED, *obs),
+        "sections": _sections(),
+        "filter_counters": q(f"""SELECT k."user", k.watched, coalesce(c.ranked, 0) AS ranked, coalesce(c.non_films, 0) AS non_films, coalesce(c.weak, 0) AS weak FROM (SELECT "user", count(DISTINCT item) AS watched FROM rated GROUP BY 1) k
+  LEFT JOIN (SELECT "user", count(*) AS ranked, count(*) FILTER (WHERE denied) AS non_films, count(*) FILTER (WHERE NOT denied AND (pred_z < 0 OR n_neighbours < 2)) AS weak
+  FROM (SELECT s.*, coalesce({_DENIED}, false) AS denied FROM scores s JOIN items USING (item) WHERE scoreable) GROUP BY 1) c USING ("user")""", *BUILD, RATED, ITEMS, scores(every=False)),
+        "title_neighbours": q(f"""SELECT CAST(place AS INTEGER) AS place, round(sim, 6) AS sim, j AS item, clean_title FROM (SELECT *, row_number() OVER (ORDER BY round(sim, 9) DESC, j) AS place FROM edges
+  WHERE i = (SELECT item FROM items JOIN stats USING (item) WHERE contains(lower(clean_title), 'widget') ORDER BY n_ratings DESC, item LIMIT 1)) JOIN items ON items.item = j WHERE place <= 10 AND NOT coalesce({_DENIED}, false)""", *BUILD, ITEMS),
+        "smoke_neighbours": q("SELECT i AS probe, j AS item, round(sim, 6) AS sim, clean_title FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(sim, 9) DESC, j) AS place FROM edges WHERE i IN (1, 2, 3)) LEFT JOIN items ON items.item = j WHERE place <= 8", *HELD_EDGES, ITEMS),
+        "top_consensus": q("SELECT CAST(place AS INTEGER) AS place, item, clean_title, n_ratings, round(z_mean, 6) AS z_mean FROM (SELECT *, row_number() OVER (ORDER BY round(z_mean, 9) DESC, item) AS place FROM stats) LEFT JOIN items USING (item) WHERE place <= 5", EV, Z, STATS, ITEMS),
+        "fact_summary": q('SELECT count(*) AS ratings, count(DISTINCT "user") AS users, count(DISTINCT item) AS items FROM li', LI),
+        "watchlist_match": q("\nUNION ALL ".join(f"SELECT '{name}' AS \"table\", coalesce(method, 'unmatched') AS method, count(*) AS n, round(count(*) / (SELECT count(*) FROM films WHERE {where}), 6) AS share FROM matched WHERE {where} GROUP BY 2" for name, where in (("rated", "true"), ("watchlist", "film_id % 4 = 0"))), *MATCHING, FUZZY, LI, LI_STATS, MATCHED),
+        "profile_line": q("SELECT count(*) AS rated, count(m.item) AS matched, round(count(m.item) / count(*), 6) AS share, round(avg(f.rating), 6) AS mean, round(stddev_pop(f.rating), 6) AS spread, " + ", ".join(f"(SELECT string_agg(title[:30], ' · ' ORDER BY rating {order}, film_id) FROM (SELECT * FROM films ORDER BY rating {order}, film_id LIMIT 3)) AS {name}" for name, order in (("loved", "DESC"), ("hated", "ASC"))) + " FROM films f LEFT JOIN matched m USING (film_id)", *MATCHING, FUZZY, LI, LI_STATS, MATCHED),
+        "profile_extremes": q("\nUNION ALL ".join(f"""SELECT "user", '{side}' AS side, CAST(k AS INTEGER) AS place, title, year, rating, round(z, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(z, 9) {order}, ord) AS k FROM aged) WHERE k <= 3""" for side, order in (("loved", "DESC"), ("hated", "ASC"))), MEMBERS, PROFILE),
+        "perfect_films": q("""SELECT "user", CAST(k AS INTEGER) AS place, title, year, rating FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ord) AS k FROM latest WHERE rating = 5.0) WHERE k <= 6""", MEMBERS, PROFILE),
+        "profile_summary": q("""SELECT s."user", s.n, round(mean, 6) AS mean, round(sigma_raw, 6) AS sigma_raw, round(sigma, 6) AS sigma, reference_date, CAST(sigma_raw < 0.5 AS BIGINT) + CAST(reference_date IS NULL AS BIGINT) + CAST(coalesce(top_share > 0.25, false) AS BIGINT) AS n_warnings,
+  reviewed, liked, round(weight_min, 6) AS weight_min, round(weight_median, 6) AS weight_median, round(weight_max, 6) AS weight_max FROM pstats s LEFT JOIN busy USING ("user")
+  LEFT JOIN (SELECT "user", count(*) FILTER (WHERE has_review) AS reviewed, count(*) FILTER (WHERE is_liked) AS liked, min(weight) AS weight_min, median(weight) AS weight_median, max(weight) AS weight_max FROM pfilms GROUP BY 1) f USING ("user")""", MEMBERS, PROFILE),
         "streaming_item_stats": "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, count(*) AS n_events, round(avg(value), 6) AS mean_value, max(ts) AS last_ts FROM events GROUP BY 1",
     }

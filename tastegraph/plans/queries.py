@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import EvalConfig, MatchConfig, PresentationConfig, ProfileConfig, ScoringConfig, SimilarityConfig, StagingConfig
+from ..config import COMPARE, MODES, SWEEP, EvalConfig, MatchConfig, PresentationConfig, ProfileConfig, ScoringConfig, SimilarityConfig, StagingConfig
 from ..functions import titles as T
 from ..operators import evaluation, matching, presentation, profile, ratings, scoring, similarity
 from . import oracle, recommend, views
@@ -19,8 +19,8 @@ _QUERIES: dict[str, Query] = {}
 #: The dense view has a hundred items, the sparse one thousands with few common raters: neighbours and shrinkage follow.
 DENSE = SimilarityConfig(shrinkage_lambda=60.0, top_k_neighbours=50)
 SPARSE = SimilarityConfig(shrinkage_lambda=2.0, top_k_neighbours=200)
-EVAL = EvalConfig(holdout_users=40, holdout_min=20, holdout_max=100_000, repeats=2, ks=(10, 20))
-EVAL_USERS = 10
+#: Of the eligible users 300 are drawn, or a fifth where that is fewer, so that the similarity has somebody left to be built on.
+EVAL = EvalConfig(holdout_share=0.2, holdout_min=20, holdout_max=100_000, repeats=2, ks=(10, 20))
 #: High enough for both passes to drop something.
 STAGING = StagingConfig(min_item_ratings=22, min_user_ratings=30)
 
@@ -55,10 +55,8 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles whose users have left something unrated to be offered: their ratings in a hashed half."""
-    z = ratings.z_scores(_dense(spark, d))
-    half = F.substring(F.md5(F.concat_ws(":", F.col("user").cast("string"), F.col("item").cast("string"))), 1, 1) < "8"
-    return z.where(half).select("user", "item", "rating", "z")
+    """Every user's whole profile."""
+    return ratings.z_scores(_dense(spark, d)).select("user", "item", "rating", "z")
 
 
 # ratings
@@ -129,8 +127,8 @@ def topk_neighbours_sparse(spark, d):
 @query
 def similarity_excluding_users(spark, d):
     fact = _dense(spark, d)
-    users = evaluation.eval_users(fact, EVAL, EVAL_USERS)
-    ratings.assert_disjoint(fact, users, users)
+    users = evaluation.eval_users(fact, EVAL)
+    ratings.assert_disjoint(ratings.without_users(fact, users), users)
     return rounded(_edges(spark, d, DENSE, users), "sim")
 
 
@@ -184,8 +182,6 @@ def recommend_gem(spark, d):
 
 @query
 def recommend_blindspot(spark, d):
-    from ..config import MODES
-
     return _mode(spark, d, replace(MODES["blindspot"], min_popularity=60))
 
 
@@ -203,7 +199,7 @@ def explain(spark, d):
 
 @query
 def predicted_stars(spark, d):
-    found = scoring.score(_rated(spark, d), _edges(spark, d), _stats(spark, d)).where("scoreable")
+    found = scoring.score(_rated(spark, d), _edges(spark, d), _stats(spark, d), every=False).where("scoreable")
     scale = ratings.user_stats(_rated(spark, d))
     rows = found.join(scale, "user").select("user", "item", scoring.stars(F.col("pred_z"), F.col("mean"), F.col("sigma"), 1.17).alias("stars"), scoring.stars(F.col("z_mean"), F.col("mean"), F.col("sigma")).alias("crowd"))
     return rounded(rows, "stars", "crowd")
@@ -217,6 +213,52 @@ def leave_one_out(spark, d):
     return evaluation.leave_one_out(rated.select("user", "item", "z"), targets, _edges(spark, d), _stats(spark, d))
 
 
+#: Types that the driver's items have, denied as television is among real titles.
+SHOWN = PresentationConfig(drop_title_types=("ECONOMY", "PROMO"))
+MODES_HERE = (("balanced", MODES["balanced"]), ("gem", MODES["gem"]), ("blindspot", replace(MODES["blindspot"], min_popularity=60)))
+
+
+@query
+def sections(spark, d):
+    """Three lists of five, none of which repeats what an earlier one offered."""
+    rated = _rated(spark, d)
+    return recommend.sections(rated, _edges(spark, d), _stats(spark, d), views.dense_items(spark, d), MODES_HERE, 5, rated.select("user", "item"), SHOWN)
+
+
+@query
+def filter_counters(spark, d):
+    return recommend.removed(_rated(spark, d), _edges(spark, d), _stats(spark, d), views.dense_items(spark, d), shown=SHOWN)
+
+
+@query
+def title_neighbours(spark, d):
+    """Neighbours of the most rated item whose title holds a text."""
+    return rounded(recommend.neighbours_by_title(_edges(spark, d), _stats(spark, d), views.dense_items(spark, d), "WIDGET", 10, SHOWN), "sim")
+
+
+@query
+def smoke_neighbours(spark, d):
+    """Of the build without the held-out users: the eight nearest of three items that everybody can judge."""
+    fact = _dense(spark, d)
+    edges = _edges(spark, d, DENSE, evaluation.eval_users(fact, EVAL)).persist()
+    items, out = views.dense_items(spark, d).select("item", "clean_title"), None
+    for probe in (1, 2, 3):
+        one = similarity.neighbours(edges, items, probe).select(F.lit(probe).cast("long").alias("probe"), F.col("j").alias("item"), "sim", "clean_title")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "sim")
+
+
+@query
+def top_consensus(spark, d):
+    top = ratings.top_consensus(_stats(spark, d), views.dense_items(spark, d))
+    return rounded(top.select("place", "item", "clean_title", "n_ratings", "z_mean"), "z_mean")
+
+
+@query
+def fact_summary(spark, d):
+    return ratings.fact_summary(views.ratings_sparse(spark, d))
+
+
 # titles
 
 
@@ -313,8 +355,20 @@ def match_report(spark, d):
 @query
 def coverage_after(spark, d):
     """How many of an export's films are from a late year, and their share."""
-    late = (F.col("year") >= 1995).cast("int")
-    return rounded(views.films(spark, d).agg(F.sum(late).alias("n"), F.avg(F.coalesce(late, F.lit(0))).alias("share")), "share")
+    return rounded(matching.coverage(views.films(spark, d), 1995), "share")
+
+
+@query
+def watchlist_match(spark, d):
+    """How an export's ratings and its watchlist (every fourth film here) are matched."""
+    found = _matched(spark, d)
+    both = matching.report(found).withColumn("table", F.lit("rated")).unionByName(matching.report(found.where("film_id % 4 = 0")).withColumn("table", F.lit("watchlist")))
+    return rounded(both.select("table", "method", "n", "share"), "share")
+
+
+@query
+def profile_line(spark, d):
+    return rounded(matching.profile_line(_matched(spark, d)), "share", "mean", "spread")
 
 
 # profiles
@@ -388,6 +442,24 @@ def export_summary(spark, d):
     return rounded(summary_row(_members(spark, d)), "rating_mean", "rating_stdev")
 
 
+@query
+def profile_extremes(spark, d):
+    films, _ = _profile(spark, d)
+    return rounded(profile.extremes(films, 3), "z")
+
+
+@query
+def perfect_films(spark, d):
+    films, _ = _profile(spark, d)
+    return profile.rated_exactly(films).select("user", "place", "title", "year", "rating")
+
+
+@query
+def profile_summary(spark, d):
+    out = profile.summary(*_profile(spark, d)).withColumn("n_warnings", F.size("warnings").cast("long")).drop("warnings")
+    return rounded(out, "mean", "sigma_raw", "sigma", "weight_min", "weight_median", "weight_max")
+
+
 # presentation
 
 
@@ -422,15 +494,15 @@ def diversify(spark, d):
 
 def _held(spark, d, config=ScoringConfig()):
     fact = _dense(spark, d)
-    users = evaluation.eval_users(fact, EVAL, EVAL_USERS)
-    rated = ratings.z_scores(fact).join(users, "user", "left_semi")
+    users = evaluation.eval_users(fact, EVAL)
+    rated, scale = evaluation.as_profiles(ratings.z_scores(fact), users)
     stats = _stats(spark, d)
-    return evaluation.held_out(evaluation.splits(rated, EVAL), _edges(spark, d, DENSE, users), stats, config, None, EVAL), stats, rated
+    return evaluation.held_out(evaluation.splits(rated, EVAL), _edges(spark, d, DENSE, users), stats, config, None, EVAL), stats, scale
 
 
 @query
 def eval_users(spark, d):
-    return evaluation.eval_users(_dense(spark, d), EVAL, EVAL_USERS)
+    return evaluation.eval_users(_dense(spark, d), EVAL)
 
 
 @query
@@ -454,8 +526,17 @@ def ranking_metrics(spark, d):
 
 @query
 def rating_error(spark, d):
-    rows, _, rated = _held(spark, d)
-    return rounded(evaluation.rating_error(rows, ratings.user_stats(rated)), "mae", "rmse", "mae_trivial")
+    rows, _, scale = _held(spark, d)
+    return rounded(evaluation.rating_error(rows, scale), "mae", "rmse", "mae_trivial")
+
+
+@query
+def pooled_error(spark, d):
+    """Errors of all evaluated users, averaged over splits and then over users."""
+    fact = _dense(spark, d)
+    users = evaluation.eval_users(fact, EVAL)
+    _, errors = evaluation.evaluate_users(ratings.z_scores(fact), users, _edges(spark, d, DENSE, users), _stats(spark, d), config=EVAL, repeats=EVAL.repeats)
+    return rounded(evaluation.pooled_error(errors), "mae", "rmse", "mae_trivial")
 
 
 @query
@@ -482,14 +563,23 @@ def pooled_table_rankable(spark, d):
     return rounded(evaluation.pooled_table(evaluation.observations(rows, stats), scoreable_only=True), "Q1", "Q2", "Q3", "Q4", "Q5", "ALL")
 
 
+def _swept(spark, d, configs) -> DataFrame:
+    fact = _dense(spark, d)
+    users = evaluation.eval_users(fact, EVAL)
+    rated, _ = evaluation.as_profiles(ratings.z_scores(fact), users)
+    return rounded(recommend.sweep(rated, _edges(spark, d, DENSE, users), _stats(spark, d), configs, EVAL), "rankable", "Q1", "Q2", "Q3", "Q4", "Q5", "ALL", "Q1_3")
+
+
 @query
 def config_sweep(spark, d):
-    fact = _dense(spark, d)
-    users = evaluation.eval_users(fact, EVAL, EVAL_USERS)
-    rated = ratings.z_scores(fact).join(users, "user", "left_semi")
-    configs = {"alpha 0": ScoringConfig(popularity_alpha=0.0), "alpha 0.4": ScoringConfig(popularity_alpha=0.4), "legacy": ScoringConfig(use_residual_input=False, rank_shrinkage_k=0.0, popularity_alpha=0.0)}
-    out = recommend.sweep(rated, _edges(spark, d, DENSE, users), _stats(spark, d), configs, EVAL.repeats)
-    return rounded(out, "Q1", "Q2", "Q3", "Q4", "Q5", "ALL")
+    """Nine settings over the same splits."""
+    return _swept(spark, d, SWEEP)
+
+
+@query
+def config_compare(spark, d):
+    """The old scorer and three of the new one over the same splits."""
+    return _swept(spark, d, COMPARE)
 
 
 # streaming

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..config import StagingConfig
 from ..functions.titles import split_year
@@ -34,12 +33,10 @@ def scan_title_types(spark: SparkSession, path: str) -> DataFrame:
 
 
 def once(spark: SparkSession, path: str, make, force: bool = False) -> DataFrame:
-    """The Parquet table at path, made and written first if it isn't there (or ``force``)."""
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+    """The Parquet table at path, made and written first if it isn't there whole (or ``force``). A table that is there but can't be read is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not force and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")):
+        return spark.read.parquet(path)
     make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -80,6 +77,25 @@ def load_similarity(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame
     return edges, stats.withColumn("z_mean", F.coalesce("z_mean", F.lit(0.0))), warnings
 
 
+def title_types(spark: SparkSession, path: str, out: str, force: bool = False) -> DataFrame:
+    """The reduction of a title dump to its two columns, written once and read again."""
+    return once(spark, f"{out}/title_types", lambda: scan_title_types(spark, path), force)
+
+
+def save_holdout(users: DataFrame, out: str) -> None:
+    """The users that the similarity must not be built on."""
+    users.select("user").write.mode("overwrite").parquet(f"{out}/holdout_users")
+
+
+def load_holdout(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/holdout_users")
+
+
+def save_items(items: DataFrame, out: str) -> None:
+    """The item dimension as one folder of CSV files with headers, for other tools; Parquet is what the engine reads."""
+    items.write.mode("overwrite").csv(f"{out}/items_csv", header=True)
+
+
 def save_report(matched: DataFrame, out: str) -> None:
     """Matches and misses as CSV files with headers."""
     matched.where("item IS NOT NULL").write.mode("overwrite").csv(f"{out}/matched", header=True)

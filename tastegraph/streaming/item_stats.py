@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +35,11 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def drained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream's result once it has read what is there now (an in-memory sink: one row for each item)."""
-    name = f"item_stats_{uuid4().hex}"
-    running = item_stats(stream(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """The stream's result once it has read what is there now: each trigger's table replaces the one before in the folder of spark.checkpoint.dir, where the
+    stream's own state is kept as well (a folder of this machine only if the session names none, as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    out = f"{base.rstrip('/')}/item_stats_{uuid4().hex}"
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table")
+    running = item_stats(stream(spark, sf_dir)).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{out}/table")

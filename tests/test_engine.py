@@ -160,7 +160,87 @@ def test_splits_and_ranking_metrics(world):
     with pytest.raises(ValueError):
         evaluation.eval_users(fact, config, 1000)
     with pytest.raises(ValueError):
-        ratings.assert_disjoint(fact, users.limit(0), users)
+        ratings.assert_disjoint(fact, users)
+    ratings.assert_disjoint(ratings.without_users(fact, users), users)
+
+
+def test_draws_by_share(world):
+    config = EvalConfig(holdout_min=1, holdout_max=100, holdout_share=0.1)
+    assert evaluation.eval_users(world[0], config).count() == 8 and evaluation.eval_users(world[0], replace(config, holdout_users=5)).count() == 5
+
+
+def test_sweep_agrees_with_single_configurations(world):
+    fact, edges, stats = world
+    config = EvalConfig(holdout_min=1, holdout_max=100, repeats=2)
+    rated, scale = evaluation.as_profiles(ratings.z_scores(fact), evaluation.eval_users(fact, config, 4))
+    configs = {"floor": replace(SCORE, min_support=0.4), "plain": replace(SCORE, use_residual_input=False)}
+    table = {r.config: r for r in recommend.sweep(rated, edges, stats, configs, config).collect()}
+    for name, c in configs.items():
+        seen = evaluation.observations(evaluation.held_out(evaluation.splits(rated, config), edges, stats, c, None, config), stats)
+        rows = {r["row"]: r for r in evaluation.pooled_table(seen).collect()}
+        one = rows[evaluation.METHODS_FIRST]
+        assert (table[name].n, table[name].ALL, table[name].rankable) == (rows["n"].ALL, one.ALL, rows["rankable"].ALL)
+        low = [x for x in (one.Q1, one.Q2, one.Q3) if x is not None]
+        assert table[name].Q1_3 == (pytest.approx(sum(low) / len(low)) if low else None)
+    seen, errors = evaluation.evaluate_users(ratings.z_scores(fact), rated.select("user").distinct(), edges, stats, SCORE, config)
+    pooled = evaluation.pooled_error(errors).first()
+    by_user = {}
+    for r in errors.collect():
+        by_user.setdefault(r.user, []).append(r.mae)
+    assert pooled.users == 4 and pooled.mae == pytest.approx(sum(sum(x) / len(x) for x in by_user.values()) / 4) and seen.count() > 0 and scale.count() == 4
+
+
+def test_heavy_users_are_dealt_into_blocks(world, monkeypatch):
+    want = {(r.i, r.j): (r.sim, r.n_co) for r in similarity.pairs(similarity.vectors(world[0], SIM), SIM).collect()}
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    got = {(r.i, r.j): (r.sim, r.n_co) for r in similarity.pairs(similarity.vectors(world[0], SIM), SIM).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+
+
+def test_dense_index_over_many_ranges(spark):
+    ids = [x * 37 % 10_007 for x in range(3_000)]
+    df = spark.createDataFrame([(x,) for x in [*ids, *ids[:50], None]], "id long").repartition(7)
+    assert {r.id: r.at for r in ratings.dense_index(df, "id", "at").collect()} == {x: i for i, x in enumerate(sorted(ids))}
+    assert ratings.dense_index(df.limit(0), "id", "at").count() == 0
+    assert {r.id: r.at for r in ratings.dense_index(spark.createDataFrame([("b",), ("a",), ("b",)], "id string"), "id", "at").collect()} == {"a": 0, "b": 1}
+
+
+def test_neighbours_of_one_item(spark, world):
+    items = spark.createDataFrame([(i, f"Film {i}", "movie" if i % 2 else "tvSeries") for i in range(13)], "item long, clean_title string, title_type string")
+    near = similarity.neighbours(world[1], items, 0, 4).collect()
+    assert len(near) == 4 and [r.sim for r in near] == sorted((r.sim for r in near), reverse=True) and {r.j for r in near} <= set(range(1, 6)) | {12}
+    stats = world[2].withColumn("n_ratings", F.when(F.col("item") == 12, 1).otherwise(F.col("n_ratings")))
+    found = recommend.neighbours_by_title(world[1], stats, items, "FILM 1", 5).collect()  # 1, 10, 11 and 12 hold the text; of equally rated ones the least item
+    assert {r["item"] % 2 for r in found} == {1} and [r.place for r in found] == sorted(r.place for r in found) and found[-1].place <= 5
+    assert recommend.neighbours_by_title(world[1], stats, items, "no such film").count() == 0
+
+
+def test_artefacts_are_built_without_the_held_out(spark, world, tmp_path):
+    from tastegraph.sources import staging
+
+    config = EvalConfig(holdout_min=1, holdout_max=100, holdout_users=10)
+    edges, stats, users = recommend.build_artefacts(spark, world[0], str(tmp_path), StagingConfig(5, 3), SIM, config)
+    assert users.count() == 10 and staging.load_holdout(spark, str(tmp_path)).count() == 10
+    rest = similarity.build(ratings.without_users(world[0], users), SIM)
+    assert edges.agg(F.max("n_co")).first()[0] == 70 == rest.agg(F.max("n_co")).first()[0] and stats.count() == 13
+    stats.drop("z_mean").write.parquet(f"{tmp_path}/old/stats")
+    edges.write.parquet(f"{tmp_path}/old/edges")
+    _, old, warnings = staging.load_similarity(spark, f"{tmp_path}/old")
+    assert {r.z_mean for r in old.collect()} == {0.0} and len(warnings) == 1
+
+
+def test_settings_from_the_session(spark):
+    from tastegraph.config import MatchConfig, from_session
+
+    given = {"ScoringConfig.popularity_alpha": "0.4", "ScoringConfig.use_residual_input": "false", "EvalConfig.ks": "5, 7", "PresentationConfig.min_predicted_z": "none"}
+    try:
+        for k, v in given.items():
+            spark.conf.set(f"tastegraph.{k}", v)
+        assert from_session(spark, ScoringConfig()) == ScoringConfig(popularity_alpha=0.4, use_residual_input=False)
+        assert from_session(spark, EvalConfig()).ks == (5, 7) and from_session(spark, PresentationConfig()).min_predicted_z is None and from_session(spark, MatchConfig()) == MatchConfig()
+    finally:
+        for k in given:
+            spark.conf.unset(f"tastegraph.{k}")
 
 
 def test_rankable_table_is_empty_when_nothing_is(world):

@@ -33,12 +33,27 @@ def test_series_display_bases_ids(spark):
     assert values(spark, titles.catalogue_id, ["133093", "0133093.0", "10872600", None]) == ["0133093", "0133093", "10872600", None]
 
 
+def test_nfkd_goes_beyond_latin(spark):
+    assert values(spark, titles.nfkd, ["Amélie", "ﬁn", "Й", None]) == ["Amelie", "fin", "И", None]
+
+
 def test_ratios(spark):
     rows = spark.createDataFrame([("arthous 0", "arthouse 0"), ("0 arthouse", "arthouse 0"), ("a", "b")], "a string, b string")
     got = [round(r.x, 1) for r in rows.select(fuzzy.token_sort_ratio(F.col("a"), F.col("b")).alias("x")).collect()]
     assert got == [94.7, 100.0, 0.0]
 
 
+def test_both_forms_of_the_ratio_agree(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcé", k=rng.randint(0, 30)))
+    pairs = [(word(), word()) for _ in range(300)] + [("x" * 200, "xy" * 150), ("", ""), ("a", "")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(fuzzy.ratio(F.col("a"), F.col("b")).alias("x"), fuzzy.native_ratio(F.col("a"), F.col("b")).alias("y")).collect()
+    assert all(r.x == pytest.approx(r.y) for r in rows)
+    assert spark.createDataFrame([(None, "a")], "a string, b string").select(fuzzy.token_set_ratio(F.col("a"), F.col("b")).alias("x"), fuzzy.token_sort_ratio(F.col("a"), F.col("b")).alias("y")).first() == (None, None)
+
+
 @pytest.fixture(scope="module")
 def catalogue(spark):
     rows = [(i, f"Arthouse {i}", 1990 + i) for i in range(6)] + [(12, "Universally Adored", 2002), (20, "Ambulance", 2005), (21, "Ambulance", 2022), (30, "Lone One", None)]
@@ -109,9 +124,39 @@ def test_staging_is_done_once(spark, tmp_path):
     assert staging.stage(spark, str(tmp_path), str(tmp_path / "out"), config)[0].count() == 90
 
 
+def test_artefacts_that_are_there_but_broken(spark, tmp_path):
+    """... are an error, not a reason to build over them; one without its mark of completion is built again."""
+    made = lambda: spark.range(3)
+    assert staging.once(spark, f"{tmp_path}/t", made).count() == 3 and staging.once(spark, f"{tmp_path}/t", lambda: spark.range(9)).count() == 3
+    (tmp_path / "half").mkdir()
+    assert staging.once(spark, f"{tmp_path}/half", made).count() == 3
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/_SUCCESS").write_text("")
+    with pytest.raises(Exception):
+        staging.once(spark, f"{tmp_path}/bad", made)
+
+
+def test_profile_report(spark, tmp_path, catalogue):
+    from tastegraph.operators import ratings
+    from tastegraph.plans import recommend
+
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/ratings.csv").write_text("Date,Name,Year,Some URI,Rating\n2024-01-01,Arthouse 0,1990,x,5\n2024-01-02,Arthouse 1,1991,x,2\n2024-01-03,Nowhere,2024,x,4\n")
+    (tmp_path / "e/watchlist.csv").write_text("Date,Name,Year,Some URI\n2024-01-01,Ambulance,2022,x\n2024-01-01,Never Made,1999,x\n")
+    stats = ratings.item_stats(spark.createDataFrame([(1, 0, 4.0), (2, 0, 3.0)], "user long, item long, rating double"))
+    got = recommend.profile_report(export.load_export(spark, str(tmp_path / "e")), catalogue, stats, out=str(tmp_path / "out"))
+    assert {(r["table"], r.method): r.n for r in got["methods"].collect()} == {("rated", "exact title+year"): 2, ("rated", "unmatched"): 1, ("watchlist", "exact title+year"): 1, ("watchlist", "unmatched"): 1}
+    assert got["coverage"].first().n == 1 and got["summary"].first().n == 3
+    assert {r.title: r.residual for r in got["matched"].collect()} == {"Arthouse 0": 1.5, "Arthouse 1": None, "Nowhere": None}
+    assert spark.read.csv(f"{tmp_path}/out/matched", header=True).count() == 2 and spark.read.csv(f"{tmp_path}/out/unmatched", header=True).first().title == "Nowhere"
+
+
 def test_title_types(spark, tmp_path):
     (tmp_path / "t.tsv").write_text('tconst\ttitleType\tx\ntt01\tmovie\t"a\ntt02\t\\N\tb\n')
     assert [tuple(r) for r in staging.scan_title_types(spark, str(tmp_path / "t.tsv")).collect()] == [("01", "movie")]
+    assert staging.title_types(spark, str(tmp_path / "t.tsv"), str(tmp_path / "types")).count() == 1
+    (tmp_path / "t.tsv").unlink()
+    assert staging.title_types(spark, str(tmp_path / "t.tsv"), str(tmp_path / "types")).count() == 1
 
 
 def test_stream_equals_batch(spark, sf):
