@@ -58,6 +58,15 @@ def test_classifier_odd_cases(spark, odd, empty):
         assert classify.score(empty, none, kind).count() == 0
 
 
+def test_rows_of_one_id_are_learnt_once(spark):
+    """... whatever their number and order: copies of a row change nothing."""
+    docs = [(i, f"word{i % 7} other{i % 3} " * (1 + i % 4), None) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    one = classify.fit(spark.createDataFrame(docs, SCHEMA), labels, classify.TOXICITY)
+    many = classify.fit(spark.createDataFrame(docs[::-1] * 3, SCHEMA), labels, classify.TOXICITY)
+    assert np.array_equal(one[0], many[0]) and np.allclose(one[1], many[1])
+
+
 def test_word_stems_generalise(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
@@ -106,6 +115,28 @@ def test_groups_equal_brute_force(spark, seed, n):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_drifting_families(spark):
+    """Versions that drift away from one another, each with variants and twins of these at about 0.8."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    docs, now = [], [word() for _ in range(90)]
+    for _ in range(10):
+        for k in rng.sample(range(90), 3):
+            now[k] = word()
+        for _ in range(6):
+            variant = list(now)
+            for k in rng.sample(range(90), rng.choice([0, 1, 2, 3])):
+                variant[k] = word()
+            twin = list(variant)
+            for k in rng.sample(range(90), rng.choice([1, 2, 3])):
+                twin[k] = word()
+            docs += [" ".join(variant), " ".join(twin)]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = neardup.groups(spark.createDataFrame(docs, "doc_id long, text string"), n=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == neardup.brute(docs, 4)
+
+
 def test_groups_odd_cases(odd, empty):
     got = {r.doc_id: r for r in neardup.groups(odd).collect()}
     assert neardup.groups(odd).count() == len(ODD) and neardup.groups(empty).count() == 0
@@ -122,6 +153,29 @@ def test_family_of_a_hub_with_another_hub(spark):
     assert {tuple(sorted(x)) for x in found.collect()} == {(2, 3)}
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    """Ids 4 has two unlike texts and one without words: its texts are linked, whatever else they are like."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = [(4, a), (4, b), (4, " "), (10, a.upper()), (11, b + " tail"), (2, b), (7, "c d e"), (7, "f g h"), (None, a), (None, b)]
+    got = neardup.groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got if r.n_shingles and r.doc_id is not None) == [(2, 36, 2), (4, 36, 2), (4, 36, 2), (7, 1, 7), (7, 1, 7), (10, 36, 2), (11, 37, 2)]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id == 4 and not r.n_shingles] == [(4, True)]
+    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None) and len(got) == len(docs)
+
+
+def test_pairs_across_blocks_of_a_bucket(spark, monkeypatch):
+    """However many blocks a bucket has, each pair is met once."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(60))) for i in range(40)], "doc_id long, text string").withColumns({"node": F.col("doc_id"), "many": F.lit(False)})
+    rows = neardup.profiles(docs.select("doc_id", "node", "many", "text"), 5).drop("doc_id", "many").withColumnsRenamed({"n_shingles": "n"}).withColumns({"key": F.lit(0).cast("long"), "component": F.col("node") % 5, "hub": F.col("node") % 4})
+    family = rows.withColumn("component", F.when(F.col("node") < 35, -1).otherwise(F.col("node")))
+    for size in (4096, 7):
+        monkeypatch.setattr(neardup, "BLOCK_MEMBERS", size)
+        got = [tuple(r) for r in neardup.across_pairs(rows, 80).collect()]
+        assert sorted(got) == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 5 != b % 5 and a % 4 != b % 4]
+        got = [tuple(r) for r in neardup.across_pairs(family, 80).collect()]
+        assert sorted(got) == [(a, b) for a in range(40) for b in range(max(a + 1, 35), 40) if a % 4 != b % 4]
+
+
 # chat
 
 
@@ -132,16 +186,29 @@ def test_chat_round_trip(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("extra", F.lit(1))
     out = chat.formatted(df)
     null = lambda x: (x is not None, x)
-    for r in chat.parsed(out).collect():
+    for r in chat.parsed(out.withColumn("read", chat.masked(F.col("formatted"), F.col("loss_mask")))).collect():
         mine = sorted([(null(t), null(role), text or "") for c, t, role, text in rows if c == r.conv_id])
         assert [(x.role, x.text) for x in r.turns] == [(role[1], text) for _, role, text in mine]
         assert len(r.loss_mask) == len(r.formatted)
         masked = "".join(c for c, m in zip(r.formatted, r.loss_mask, strict=True) if m == "1")
         escaped = lambda s: s.replace("\\", "\\b").replace("#", "\\h").replace("<", "\\l")
         assert masked == "".join(escaped(text) for _, role, text in mine if role[1] == "assistant")
+        assert masked == r.read
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_loss_comes_from_under_the_mask(spark):
+    """Many runs, over several slices; another mask gives another digest; a long text and columns named like outputs do no harm."""
+    turns = [(1, i, "assistant" if i % 2 else "user", f"t{i}<#\\é") for i in range(401)] + [(2, 0, "user", "q"), (2, 1, "assistant", "a b " * 60_000), (3, 0, "user", "only asks")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit("x"), "loss_mask": F.lit("y"), "turns": F.lit(1)})
+    out = chat.formatted(df)
+    want = {c: "".join(t for k, _, role, t in turns if k == c and role == "assistant") for c in (1, 2, 3)}
+    got = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.digests(out).collect()}
+    assert got == {c: (len(t), hashlib.sha256(t.encode()).hexdigest()) for c, t in want.items()}
+    wrong = {r.conv_id: r.loss_sha256 for r in chat.digests(out.withColumn("loss_mask", F.concat(F.lit("0"), F.expr("substring(loss_mask, 1, length(loss_mask) - 1)")))).collect()}
+    assert wrong[1] != got[1][1] and wrong[2] != got[2][1] and wrong[3] == got[3][1]
+
+
 # pieces
 
 
@@ -224,6 +291,47 @@ def test_repetitive_texts_stay_near(spark):
     assert fingerprint.likeness([a], [b])[0] > 0.4
 
 
+def test_next_texts_over_many_ranges(spark):
+    """An id that fills ranges, null ids, a very long text, one range and many: the order is by id, then by the text's hash."""
+    rng = random.Random(3)
+    docs = [(rng.choice([5, 5, None, rng.randint(-50, 50)]), f"text {i} " * rng.randint(0, 9)) for i in range(400)] + [(7, "long " * 20_000), (8, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("RANGE", F.lit("clash"))
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.o, r.t)
+    order = sorted(df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("o", F.shiftrightunsigned(F.xxhash64("t"), 1)).collect(), key=key)
+    want = sorted((r.doc_id is not None, r.doc_id or 0, len(r.t), hashlib.sha256(fingerprint.edit(r.t, after.t).encode()).hexdigest()) for r, after in zip(order, order[1:] + order[:1], strict=True))
+    for n in (1, 2, 60):
+        got = fingerprint.edited(df, ranges=n).collect()
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256) for r in got) == want
+
+
+def test_fingerprint_is_what_its_rules_say():
+    """Chunks and characters again, byte by byte."""
+    mix = lambda x: int(fingerprint.W.mix(np.array([x % 2**64], np.uint64))[0])
+    value = [int(x) for x in fingerprint._ROLL]
+    prime, base = 0x9E3779B97F4A7C15, int(fingerprint.W._P)
+
+    def level(b, i):
+        h = mix(sum(value[b[i - k]] * pow(prime, k, 2**64) for k in range(min(fingerprint.SPAN, i + 1))))
+        return 64 if h == 0 else (h & -h).bit_length() - 1
+
+    def signature(b, k):
+        cuts, last = [], 0
+        for i in range(1, len(b) + 1):
+            if (i - last >= max(1, (1 << k) // 4) and level(b, i - 1) >= k) or i - last == 4 << k or i == len(b):
+                cuts.append((last, i))
+                last = i
+        char = lambda s, e: chr(fingerprint._CHARS[mix(sum(value[b[i]] * pow(base, i - s, 2**64) for i in range(s, e)) + e - s) >> 58])
+        return "".join(char(s, e) for s, e in cuts)
+
+    rng = random.Random(4)
+    for text in ["a", "ab" * 40, "".join(rng.choices("abcd é", k=700)), " ".join(rng.choices(["lorem", "ipsum", "dolor"], k=300))]:
+        b = text.encode()
+        k = max(0, (len(b) - 1) // fingerprint.USUAL).bit_length()
+        while len(signature(b, k)) > fingerprint.LENGTH:
+            k += 1
+        assert fingerprint.fingerprint(np.frombuffer(b, np.uint8)) == f"{k}:{signature(b, k)}:{signature(b, k + 1)}"
+
+
 def test_fingerprint_odd_cases(spark, odd, empty):
     rows = fingerprint.annotate(odd).collect()
     assert len({r.fingerprint for r in rows if not r.text}) == 1 and len({r.fingerprint for r in rows if r.doc_id == 4}) == 1
@@ -256,12 +364,25 @@ def test_explicit_rules(spark):
 
 def test_mined_rules_match_whole_antecedents(spark):
     labelled = [(["host:bad", "x"], "block")] * 30 + [(["host:ok", "x"], "allow")] * 30 + [(["a", "b"], "block")] * 20 + [(["a"], "allow")] * 20 + [(["b"], "allow")] * 20
-    rules = urls.mine(spark.createDataFrame(labelled, "tokens array<string>, verdict string"))
+    df = spark.createDataFrame(labelled, "tokens array<string>, verdict string")
+    rules = urls.mine(df, df)
+    assert urls.mine(df, df.where("verdict = 'allow'")).count() == 0  # what doesn't hold on other URLs is dropped
     assert {tuple(r.antecedent) for r in rules.collect()} == {("host:bad",), ("a", "b")}
     sets = spark.createDataFrame([(["a"],), (["a", "b", "c"],), (["host:bad", "z"],), (["q"],)], "tokens array<string>")
     assert {tuple(r.tokens) for r in urls.fired(sets, rules).collect()} == {("a", "b", "c"), ("host:bad", "z")}
 
 
+def test_labels_of_the_caller(spark):
+    """Hosts that the caller blocks are learnt and measured on URLs kept apart; a very long url, nulls and odd labels do no harm."""
+    rows = [(i, f"http://{'bad' if i % 3 == 0 else 'ok'}{i % 2}.net/p{i}?x{i % 4}=1", "block" if i % 3 == 0 else "allow") for i in range(900)]
+    rows += [(1000, "http://bad0.net/" + "a/" * 50_000, None), (1001, "http://ok1.net/", "?"), (1002, None, "block"), (1003, "http://x.com/de/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = {r.page_id: r.verdict for r in urls.judge(df, label_column="verdict").collect()}
+    assert (got[1000], got[1001], got[1002], got[1003], got[3], got[4]) == ("block", "allow", "allow", "block", "block", "allow")
+    m = urls.measured(df, label_column="verdict").first()
+    assert m.n > 100 and m.blocked == m.right == m.block
+
+
 # languages
 
 
@@ -272,7 +393,7 @@ def test_language_held_out(spark, sf):
 
 
 def test_codewords_and_odd_cases(spark, odd, empty):
-    for n in (2, 3, 7, 12):
+    for n in (2, 3, 7, 12, 300):
         code = langid.codewords(n)
         assert len({tuple(r) for r in code}) == n and all(abs(c.sum()) < n for c in code.T)
     docs = [(i, t * (1 + i % 3), lang) for i in range(40) for t, lang in (("the cat and the dog ", "en"), ("der hund und die katze ", "de"))]
@@ -284,6 +405,14 @@ def test_codewords_and_odd_cases(spark, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"} and langid.predict(empty, learnt).count() == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    """No language is left out, however many there are."""
+    word = lambda k: "".join(chr(97 + (k * 7 + j * (k % 11 + 1)) % 26) for j in range(5))
+    docs = [(k * 50 + i, " ".join([word(k), word(k)[::-1]] * 5), f"l{k:03d}") for k in range(60) for i in range(40 if k % 2 else 9)]
+    langs = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), max_rows=100)[0]
+    assert langs == [f"l{k:03d}" for k in range(60)]
+
+
 # decontamination
 
 
@@ -302,6 +431,25 @@ def test_decontamination_equals_brute_force(spark, odd, empty):
     assert decontaminate.find(odd, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_benchmark_blocks_end_and_are_bounded(spark):
+    items = [("a", "x" * 8)] * 3 + [(str(i), "y" * (i % 5)) for i in range(60)] + [("long", "z" * 50)]
+    dealt, numbers = decontaminate.blocks(spark.createDataFrame(items, "item_id string, text string"), "item_id", "text", 10)
+    sizes = {(r.part, r.block): r.n for r in dealt.groupBy("part", "block").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert sorted(sizes) == numbers and max(sizes.values()) <= 10 + 50 and dealt.count() == len(set(items))
+
+
+def test_a_line_that_all_items_share(spark):
+    """... and that a document repeats: no pair of places is made, and items and words are right."""
+    line = " ".join(f"s{k}" for k in range(20))
+    items = [(i, f"{line} own{i} tail{i}") for i in range(400)]
+    docs = [(0, " ".join([line] * 500)), (1, f"x {line} y"), (2, "own3 tail3"), (3, " ".join(line.split()[:12]))]
+    index = decontaminate.Index.of([str(i) for i, _ in items], [t for _, t in items])
+    words = decontaminate.W.split(*decontaminate.W.buffers(decontaminate.pa.array([docs[0][1]])), decontaminate.W.ALNUM)
+    assert len(decontaminate.Matcher(index).hits(words)[0]) == 500 * 8
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == decontaminate.brute(docs, items)
+
+
 # personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -337,6 +485,13 @@ def test_candidates_are_judged(odd, empty):
     assert any(k == "email" for k, _ in find("write to jane.doe [at] example [dot] com please"))
     for clean in ("on 2024-05-17 we met", "version 12.34.56 of the tool", "isbn 978-3-161-48410-0 in print", "order 12345-67890-123 shipped"):
         assert find(clean) == []
+    for kind, text in (("phone", "Tel. 0301234567"), ("phone", "tel 5551234567"), ("ip", "dead:beef::cafe"), ("ssn", "ssn 123 45 6789")):
+        assert [k for k, _ in find(text)] == [kind]
+    assert ("phone", 4, 14) in pii.candidates("at, 0301234567 2024 x") and ("phone", 4, 15) in pii.candidates("at, 030 1234567 2024 12 x")
+    rates = pii.measured(400)
+    assert all(found > 0.6 * of for kind, (found, of) in rates.items() if kind != "look-alikes") and rates["look-alikes"][0] < 0.25 * rates["look-alikes"][1]
+    letters = odd.sparkSession.createDataFrame([(1, "at dead:beef::cafe it is"), (2, "so: no")], "doc_id long, text string")
+    assert [len(r.pii_spans) for r in pii.annotate(letters).orderBy("doc_id").collect()] == [1, 0]
     both = "a@b.co and a@b.co"
     assert pii.redacted(both, pii.base_spans(both)) == "[EMAIL] and [EMAIL]"
     out = pii.annotate(odd, redact=True)
@@ -362,7 +517,50 @@ def test_pipeline(spark, sf):
     assert kept["near_duplicates"] == {d for d, (_, c) in neardup.brute(rows, 5).items() if d == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = decontaminate.brute([x for x in rows if x[0] in kept["near_duplicates"]], items)
-    assert kept["decontaminate"] == {d for d, (n, hit, _) in clean.items() if not (hit and 20 * hit >= n)}
+    assert min(len(t.split()) for _, t in items) >= decontaminate.WINDOW  # so every hit is a whole window
+    assert kept["decontaminate"] == {d for d, (_, hit, _) in clean.items() if not hit}
+
+
+def test_pipeline_drops_planted_passages(spark, tmp_path):
+    """A passage of 13 words goes with its document, however long; 12 words and single words of short items don't."""
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    filler = lambda n: " ".join("f" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    item = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([("x", item), ("x", item), ("short", "a b"), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = {
+        1: f"{filler(5000)} {' '.join(f'Q{i}' for i in range(9, 22))} {filler(5000)}",
+        2: f"{filler(5000)} {' '.join(f'q{i}' for i in range(9, 21))} {filler(5000)}",
+        3: f"{filler(300)} a b {filler(300)}",
+        4: "so a b",
+        5: filler(400),
+    }
+    df = spark.createDataFrame([*docs.items(), (6, None), (7, "")], "doc_id long, text string")
+    assert {r.doc_id for r in p.decontaminated(spark, df, str(tmp_path)).collect()} == {2, 3, 5, 6, 7}
+
+
+def test_pipeline_stages_keep_the_callers_columns(spark, sf):
+    """Nulls, repeated rows, and columns with every name that a stage uses inside."""
+    import corpus_pipeline as p
+
+    text = " ".join(f"word{i}" for i in range(60)) + " mail a@b.co"
+    names = ["row", "score", "_text", "_quality", "_id", "_row", "node", "many", "hash", "place", "id", "n_words", "n_hit", "item_ids", "hit_spans", "whole_window", "base_spans", "pii_spans", "none"]
+    rows = [(1, text, 3), (1, text, 4), (2, None, 5), (3, "", 6), (4, "  ", 7), (None, text + " more", 8), (5, "short one", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").select("*", *[(F.col("n_chars") * 100 + i).alias(n) for i, n in enumerate(names)])
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        found = out.collect()
+        assert out.columns == df.columns and stage(spark, df.limit(0), sf).count() == 0
+        for r in found:
+            mark = r["row"] // 100 if r["row"] is not None else None
+            assert all(r[n] == (None if mark is None else mark * 100 + i) for i, n in enumerate(names))
+            assert r.text == next(t if name != "personal_data" else t and t.replace("a@b.co", "[EMAIL]") for d, t, k in rows if k == mark)
+        if name == "near_duplicates":  # the null id stands below zero, so it is the group's least
+            assert sorted(r.doc_id or 0 for r in found) == [0, 2, 3, 4, 5]
+        elif name != "quality":
+            assert len(found) == len(rows)
+    assert p.tokens(spark, df, sf).count() == len(rows)
 
 
 def test_pipeline_keeps_unlike_texts_of_one_id(spark):
