@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PresentationConfig
@@ -36,9 +36,20 @@ def popularity_window(df: DataFrame, least: int | None = None, most: int | None
     return df if most is None else df.where(F.col("n_ratings") <= most)
 
 
+def keyed(items: DataFrame) -> DataFrame:
+    """items (item, clean_title, year, ...) with ``_work``, ``_series``, ``_bases`` and ``_shown``: what a list needs of titles, worked out once for each item and
+    not for each row of every user's list. The functions below take these columns where they are and work them out where they aren't."""
+    c = F.col("clean_title")
+    return items.withColumns({"_work": titles.work_key(c, F.col("year")), "_series": titles.series_key(c), "_bases": titles.base_titles(c), "_shown": titles.display_title(c)})
+
+
+def _of(df: DataFrame, name: str, make: Callable[[], Column]) -> Column:
+    return F.col(name) if name in df.columns else make()
+
+
 def seen_works(seen: DataFrame, keys: Sequence[str] = ("user",)) -> DataFrame:
     """keys, base of everything seen (keys, clean_title)."""
-    return seen.select(*keys, F.explode(titles.base_titles(F.col("clean_title"))).alias("base")).distinct()
+    return seen.select(*keys, F.explode(_of(seen, "_bases", lambda: titles.base_titles(F.col("clean_title")))).alias("base")).distinct()
 
 
 def diversify(df: DataFrame, n: int, config: PresentationConfig = PresentationConfig(), seen: DataFrame | None = None, keys: Sequence[str] = ("user",), order: str = "rank") -> DataFrame:
@@ -55,13 +66,14 @@ def diversify(df: DataFrame, n: int, config: PresentationConfig = PresentationCo
     if config.min_neighbours_to_show and "n_neighbours" in df.columns:
         df = df.where(F.coalesce(F.col("n_neighbours") >= config.min_neighbours_to_show, F.lit(True)))
     if config.dedupe_same_work:
-        df = df.withColumn("_work", titles.work_key(F.col("clean_title"), F.col("year")))
+        df = df.withColumn("_work", _of(df, "_work", lambda: titles.work_key(F.col("clean_title"), F.col("year"))))
         if seen is not None:
-            parts = df.where(F.startswith("_work", F.lit("work::"))).select(*keys, "item", F.explode(titles.base_titles(F.col("clean_title"))).alias("base"))
+            bases = _of(df, "_bases", lambda: titles.base_titles(F.col("clean_title")))
+            parts = df.where(F.startswith("_work", F.lit("work::"))).select(*keys, "item", F.explode(bases).alias("base"))
             df = df.join(parts.join(seen, [*[k for k in keys if k in seen.columns], "base"]).select(*keys, "item").distinct(), [*keys, "item"], "left_anti")
         df = df.withColumn("_w", first("_work")).where("_w = 1").drop("_w", "_work")
     if config.max_per_series:
-        series = titles.series_key(F.col("clean_title"))
+        series = _of(df, "_series", lambda: titles.series_key(F.col("clean_title")))
         df = df.withColumn("_series", series).withColumn("_s", F.when(F.col("_series").isNotNull(), first("_series")))
         df = df.where(F.col("_s").isNull() | (F.col("_s") <= config.max_per_series)).drop("_s", "_series")
     return df.withColumn("_n", first()).where(F.col("_n") <= n).drop("_n")
@@ -70,7 +82,7 @@ def diversify(df: DataFrame, n: int, config: PresentationConfig = PresentationCo
 def because(explained: DataFrame, items: DataFrame, n: int = 3, keys: Sequence[str] = ("user",)) -> DataFrame:
     """keys, candidate, because: the first n differently named titles of an explanation, each with its sign."""
     keys = [*keys, "candidate"]
-    named = explained.join(items.select("item", titles.display_title(F.col("clean_title")).alias("name")), "item")
+    named = explained.join(items.select("item", _of(items, "_shown", lambda: titles.display_title(F.col("clean_title"))).alias("name")), "item")
     one = F.row_number().over(Window.partitionBy(*keys, F.lower("name")).orderBy("place"))
     named = named.withColumn("_one", one).where("_one = 1").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("place"))).where(F.col("_n") <= n)
     sign = F.concat(F.when(F.col("contribution") > 0, F.lit("+")).otherwise(F.lit("-")), "name")

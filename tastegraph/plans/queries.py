@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import COMPARE, MODES, SWEEP, EvalConfig, MatchConfig, PresentationConfig, ProfileConfig, ScoringConfig, SimilarityConfig, StagingConfig
 from ..functions import titles as T
 from ..operators import evaluation, matching, presentation, profile, ratings, scoring, similarity
+from ..sources import staging
 from . import oracle, recommend, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,11 @@ def _rated(spark: SparkSession, d: str) -> DataFrame:
     return ratings.z_scores(_dense(spark, d)).select("user", "item", "rating", "z")
 
 
+def _ready(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profiles, edges, statistics) as written tables: plans that read them several times build them once."""
+    return staging.cut(_rated(spark, d)), staging.cut(_edges(spark, d)), staging.cut(_stats(spark, d))
+
+
 # ratings
 
 
@@ -164,9 +170,9 @@ def score_pred_shrink(spark, d):
 
 
 def _mode(spark, d, mode, **kw) -> DataFrame:
-    rated = _rated(spark, d)
+    rated, edges, stats = _ready(spark, d)
     scale = ratings.user_stats(rated)
-    out = recommend.recommend(rated, _edges(spark, d), _stats(spark, d), views.dense_items(spark, d), mode, 10, rated.select("user", "item"), user_scale=scale, **kw)
+    out = recommend.recommend(rated, edges, stats, staging.cut(presentation.keyed(views.dense_items(spark, d))), mode, 10, rated.select("user", "item"), user_scale=scale, **kw)
     return rounded(out.drop("year"), "rank_score", "pred_z", "pred_d", "support", "predicted_stars", "crowd_stars")
 
 
@@ -192,7 +198,7 @@ def recommend_unfiltered(spark, d):
 
 @query
 def explain(spark, d):
-    rated, edges, stats = _rated(spark, d), _edges(spark, d), _stats(spark, d)
+    rated, edges, stats = _ready(spark, d)
     wanted = scoring.rank(scoring.score(rated, edges, stats, every=False).where("scoreable"), ["user"], "rank_score", "rank").where("rank <= 3")
     return rounded(scoring.explain(rated, edges, stats, wanted.select("user", "item"), 5), "contribution")
 
@@ -221,8 +227,8 @@ MODES_HERE = (("balanced", MODES["balanced"]), ("gem", MODES["gem"]), ("blindspo
 @query
 def sections(spark, d):
     """Three lists of five, none of which repeats what an earlier one offered."""
-    rated = _rated(spark, d)
-    return recommend.sections(rated, _edges(spark, d), _stats(spark, d), views.dense_items(spark, d), MODES_HERE, 5, rated.select("user", "item"), SHOWN)
+    rated, edges, stats = _ready(spark, d)
+    return recommend.sections(rated, edges, stats, views.dense_items(spark, d), MODES_HERE, 5, rated.select("user", "item"), SHOWN)
 
 
 @query
@@ -240,7 +246,7 @@ def title_neighbours(spark, d):
 def smoke_neighbours(spark, d):
     """Of the build without the held-out users: the eight nearest of three items that everybody can judge."""
     fact = _dense(spark, d)
-    edges = _edges(spark, d, DENSE, evaluation.eval_users(fact, EVAL)).persist()
+    edges = staging.cut(_edges(spark, d, DENSE, evaluation.eval_users(fact, EVAL)))
     items, out = views.dense_items(spark, d).select("item", "clean_title"), None
     for probe in (1, 2, 3):
         one = similarity.neighbours(edges, items, probe).select(F.lit(probe).cast("long").alias("probe"), F.col("j").alias("item"), "sim", "clean_title")
@@ -567,7 +573,7 @@ def _swept(spark, d, configs) -> DataFrame:
     fact = _dense(spark, d)
     users = evaluation.eval_users(fact, EVAL)
     rated, _ = evaluation.as_profiles(ratings.z_scores(fact), users)
-    return rounded(recommend.sweep(rated, _edges(spark, d, DENSE, users), _stats(spark, d), configs, EVAL), "rankable", "Q1", "Q2", "Q3", "Q4", "Q5", "ALL", "Q1_3")
+    return rounded(recommend.sweep(rated, staging.cut(_edges(spark, d, DENSE, users)), staging.cut(_stats(spark, d)), configs, EVAL), "rankable", "Q1", "Q2", "Q3", "Q4", "Q5", "ALL", "Q1_3")
 
 
 @query

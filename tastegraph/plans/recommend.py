@@ -38,9 +38,9 @@ def recommend(rated: DataFrame, edges: DataFrame, stats: DataFrame, items: DataF
     [, title_type]. shown None: no presentation filters. user_scale: user, mean, sigma for stars. offered_before: user, item that an earlier list offered, which
     aren't offered again (but don't count as started works).
 
-    Edges, inputs and items are read several times in one plan (scores, explanations); they are kept in the cluster's memory or on its disks from their first use."""
-    rated, edges, stats = rated.persist(), edges.persist(), stats.persist()
+    rated, edges and stats are read several times in one plan (scores, explanations): pass written tables, or what ``staging.cut`` makes."""
     spec = MODES[mode] if isinstance(mode, str) else mode
+    items = items if "_work" in items.columns else presentation.keyed(items)
     config = replace(config, popularity_alpha=spec.alpha, min_support=config.min_support if spec.min_support is None else spec.min_support)
     # Items without evidence can't pass a positive support floor, so the users x catalogue grid isn't needed.
     away = seen if offered_before is None else offered_before.select("user", "item") if seen is None else seen.select("user", "item").unionByName(offered_before.select("user", "item")).distinct()
@@ -56,7 +56,7 @@ def recommend(rated: DataFrame, edges: DataFrame, stats: DataFrame, items: DataF
     else:
         started = None
         if shown.dedupe_against_seen and seen is not None:
-            started = presentation.seen_works(seen.join(items.select("item", "clean_title"), "item"))
+            started = presentation.seen_works(seen.join(items.select("item", "_bases"), "item"))
         kept = presentation.diversify(found, n, shown, started)
     kept = scoring.rank(kept, ["user"], "rank_score", "place")
     why = presentation.because(scoring.explain(rated, edges, stats, kept, 12, config), items)
@@ -69,11 +69,12 @@ def recommend(rated: DataFrame, edges: DataFrame, stats: DataFrame, items: DataF
 
 
 def sections(rated: DataFrame, edges: DataFrame, stats: DataFrame, items: DataFrame, modes: Sequence[tuple[str, Mode]], n: int = 5, seen: DataFrame | None = None, shown: PresentationConfig | None = PresentationConfig()) -> DataFrame:
-    """user, section, place, item, clean_title: one list after another, each without what an earlier one offered to that user."""
-    out = None
+    """user, section, place, item, clean_title: one list after another, each without what an earlier one offered to that user. Each list is written before the
+    next one reads it, so that plans don't grow with their number."""
+    out, items = None, staging.cut(presentation.keyed(items))
     for name, mode in modes:
         before = None if out is None else out.select("user", "item").distinct()
-        one = recommend(rated, edges, stats, items, mode, n, seen, shown=shown, offered_before=before).select("user", F.lit(name).alias("section"), "place", "item", "clean_title").persist()
+        one = staging.cut(recommend(rated, edges, stats, items, mode, n, seen, shown=shown, offered_before=before).select("user", F.lit(name).alias("section"), "place", "item", "clean_title"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tempfile import mkdtemp
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,14 @@ def scan_title_types(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace("tconst", "^tt", "").alias("catalogue_id"), F.col("titleType").alias("title_type")).dropna()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir, its plan cut there; the folder is set here only if the session has none (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def once(spark: SparkSession, path: str, make, force: bool = False) -> DataFrame:
     """The Parquet table at path, made and written first if it isn't there whole (or ``force``). A table that is there but can't be read is an error."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
