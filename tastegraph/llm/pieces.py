@@ -26,6 +26,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,57 +43,66 @@ UNIT_LIMIT, UNITS = 48, 1 << 19
 
 
 class StreamingViterbi:
-    """Segmentation in a window. scores: piece -> (id, score); other characters become ``fallback(character)``."""
+    """Segmentation in a window. scores: piece -> (id, score); other characters become ``fallback(character)``.
+
+    An automaton over all pieces names those that end at each boundary, the longest first."""
 
     def __init__(self, scores: dict[str, tuple[int, float]], fallback):
         self.scores, self.fallback = scores, fallback
         self.longest = max(map(len, scores), default=1)
         self.widest = 0  # boundaries in the window at most, over all texts
         self.names: list[str] = []  # pieces by number
+        self.sizes: list[int] = []
         self.ids: list[list[int]] = []
-        self.begun: dict[str, int] = {}  # beginnings of pieces: the number of a whole one, else -1
+        self.numbers: dict[str, int] = {}
         self.inside = {p[k : k + 2] for p in scores for k in range(len(p) - 1)}  # other two characters can be parted: no piece holds them
+        self.automaton = ahocorasick.Automaton()
         for piece in scores:
             if self.usable(piece):
-                for k in range(2, len(piece)):
-                    self.begun.setdefault(piece[:k], -1)
-                self.number(piece, [scores[piece][0]])
-        for c in {p[0] for p in scores}.difference(self.begun):
-            self.number(c, fallback(c))
+                self.automaton.add_word(piece, self.number(piece, [scores[piece][0]]))
+        self.automaton.make_automaton()
 
     def number(self, piece: str, ids: list[int]) -> int:
-        self.begun[piece] = len(self.names)
+        self.numbers[piece] = len(self.names)
         self.names.append(piece)
+        self.sizes.append(len(piece))
         self.ids.append(ids)
-        return self.begun[piece]
+        return self.numbers[piece]
+
+    def single(self, character: str) -> int:
+        """The number of a character, which may have no piece."""
+        known = self.numbers.get(character)
+        return self.number(character, self.fallback(character)) if known is None else known
 
     def usable(self, piece: str) -> bool:
         return True
 
-    def extend(self, text: str, at: int, stop: int, k: int, back: list[int], last: list[int], best: list[float]) -> None:
-        """Offers all pieces that start from ``at`` (boundary k of the window) to ``stop`` to the boundaries where they end.
+    def extend(self, text: str, at: int, stop: int, base: int, back: list[int], last: list[int], best: list[float]) -> None:
+        """Finds the survivors at the boundaries after ``at`` up to ``stop``; the window's first boundary is ``base``.
 
         back, last, best: of each boundary the start, number and sum of scores of its survivor (number -2: none yet, -1: a text's start)."""
         raise NotImplementedError
 
+    def hits(self, text: str, at: int, stop: int) -> Iterator[tuple[int, int]]:
+        """(last character, number) of pieces that end in the window, in order; some end before it."""
+        return self.automaton.iter(text, max(0, at - self.longest + 1), stop)
+
     def stream(self, text: str) -> Iterator[list[int]]:
         """Lists of ids, each committed as soon as it is certain; their concatenation is the result."""
         n, longest = len(text), self.longest
-        at = k = 0  # the boundary in turn, in the text and in the window
+        at = base = 0
         back, last, best = [0], [-1], [0.0]
         while at < n:
             stop = min(at + longest, n)
-            more = k + min(stop + longest, n) - at + 1 - len(last)
-            back += [0] * more
-            last += [-2] * more
-            best += [-np.inf] * more
-            self.extend(text, at, stop, k, back, last, best)
-            k += stop - at
+            back += [0] * (stop - at)
+            last += [-2] * (stop - at)
+            best += [-np.inf] * (stop - at)
+            self.extend(text, at, stop, base, back, last, best)
             at = stop
             if at < n:
                 self.widest = max(self.widest, len(last))
-                # Every later path passes one of the boundaries that pieces up to here have reached; the last is followed back until all meet.
-                open_ = {e for e in range(k, len(last)) if last[e] >= 0}
+                # A later piece starts from one of the last ``longest`` boundaries; the last is followed back until all meet.
+                open_ = set(range(max(0, at - longest + 1 - base), at - base + 1))
                 while len(open_) > 1:
                     top = max(open_)
                     open_.remove(top)
@@ -100,18 +110,24 @@ class StreamingViterbi:
                 if meet := open_.pop():
                     yield self._path(back, last, meet)
                     back, last, best = [max(0, b - meet) for b in back[meet:]], last[meet:], best[meet:]
-                    k -= meet
-        yield self._path(back, last, k)
+                    base += meet
+        yield self._path(back, last, n - base)
 
     def encode(self, text: str) -> list[int]:
+        if (n := len(text)) <= self.longest:  # one window: all that the stream would do
+            back, last = [0] * (n + 1), [-1] + [-2] * n
+            self.extend(text, 0, n, 0, back, last, [0.0] + [-np.inf] * n)
+            return self._path(back, last, n)
         return [i for part in self.stream(text) for i in part]
 
     def _path(self, back: list[int], last: list[int], at: int) -> list[int]:
-        out = []
+        out: list[int] = []
+        ids = self.ids
         while at:
-            out.append(self.ids[last[at]])
+            out += ids[last[at]][::-1]
             at = back[at]
-        return [i for ids in reversed(out) for i in ids]
+        out.reverse()
+        return out
 
 
 class BestSum(StreamingViterbi):
@@ -121,19 +137,18 @@ class BestSum(StreamingViterbi):
         super().__init__(scores, fallback)
         self.penalty = penalty
 
-    def extend(self, text, at, stop, k, back, last, best):
-        end = len(last) - k + at
-        for start in range(at, stop):
-            here = start - at + k
-            for e in range(start + 1, min(start + self.longest, end - 1) + 1):
-                if (piece := self.begun.get(text[start:e])) is None:
-                    if e > start + 1:
-                        break
-                    piece = self.number(text[start], self.fallback(text[start]))
-                if piece >= 0:
-                    hit, to = self.scores.get(self.names[piece]), here + e - start
-                    if (score := best[here] + (hit[1] if hit else self.penalty)) > best[to]:
-                        back[to], last[to], best[to] = here, piece, score
+    def extend(self, text, at, stop, base, back, last, best):
+        ended: dict[int, list[int]] = {}
+        for end, piece in self.hits(text, at, stop):
+            ended.setdefault(end + 1, []).append(piece)
+        for e in range(at + 1, stop + 1):
+            here, c = e - base, text[e - 1]
+            if c not in self.scores:
+                back[here], last[here], best[here] = here - 1, self.single(c), best[here - 1] + self.penalty
+            for piece in ended.get(e, ()):
+                start = here - self.sizes[piece]
+                if (score := best[start] + self.scores[self.names[piece]][1]) > best[here]:
+                    back[here], last[here], best[here] = start, piece, score
 
 
 class Merges(StreamingViterbi):
@@ -144,6 +159,7 @@ class Merges(StreamingViterbi):
         self.rank = {p: x - least + 1.0 for p, (_, x) in scores.items() if len(p) > 1}
         self.stay: dict[int, bool] = {}  # two numbers in one -> whether the pieces stay as they are side by side
         super().__init__(scores, fallback)
+        self.known = {p for p in self.numbers if len(p) == 1}
 
     def usable(self, piece):
         """Pieces that merging gives."""
@@ -163,20 +179,22 @@ class Merges(StreamingViterbi):
                 ranks[at] = get(out[at] + out[at + 1], 0.0)
         return out
 
-    def extend(self, text, at, stop, k, back, last, best):
-        begun, stay, longest, shift, end = self.begun.get, self.stay.get, self.longest, k - at, len(last) - k + at - 1
-        for start in range(at, stop):
-            ahead = last[start + shift]
-            for e in range(start + 1, min(start + longest, end) + 1):
-                if (piece := begun(text[start:e])) is None:
-                    if e > start + 1:
-                        break
-                    piece = self.number(text[start], self.fallback(text[start]))
-                if piece >= 0 and last[e + shift] == -2 and (ahead < 0 or (known := stay(ahead << 32 | piece)) or known is None and self._stays(ahead, piece)):
-                    back[e + shift], last[e + shift] = start + shift, piece
+    def extend(self, text, at, stop, base, back, last, best):
+        if not self.known.issuperset(text[at:stop]):
+            for p in range(at, stop):
+                if text[p] not in self.known:  # no merging gives anything else there
+                    back[p + 1 - base], last[p + 1 - base] = p - base, self.single(text[p])
+        stay, sizes, shift = self.stay.get, self.sizes, 1 - base
+        for end, piece in self.hits(text, at, stop):
+            e = end + shift
+            if last[e] == -2:
+                start = e - sizes[piece]
+                ahead = last[start]
+                if ahead < 0 or (known := stay(ahead << 32 | piece)) or known is None and self._stays(ahead, piece):
+                    back[e], last[e] = start, piece
 
     def _stays(self, ahead: int, piece: int) -> bool:
-        if len(self.stay) >= UNITS // 2:
+        if len(self.stay) >= UNITS:
             self.stay.clear()
         a, b = self.names[ahead], self.names[piece]
         known = self.stay[ahead << 32 | piece] = self.rank.get(a + b, 0.0) == 0.0 and self.merged(a + b) == [a, b]
@@ -191,9 +209,13 @@ class Units:
 
     def make(self, unit: str) -> bytes:
         if (ids := self.old.get(unit)) is None:
-            cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.search.inside]
-            if cuts:
-                ids = b"".join([self.new[unit[a:b]] for a, b in zip([0, *cuts], [*cuts, len(unit)])])
+            inside, parts, at = self.search.inside, [], 0
+            for k in range(1, len(unit)):
+                if unit[k - 1 : k + 1] not in inside:
+                    parts.append(self.new[unit[at:k]])
+                    at = k
+            if at:
+                ids = b"".join([*parts, self.new[unit[at:]]])
             else:
                 ids = array("i", self.search.encode(unit)).tobytes()
         if len(unit) <= UNIT_LIMIT:
