@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,7 @@ def bucket(column: str, modulus: int) -> Column:
 
 
 #: Rows and bytes of an Arrow batch at most: a Python worker's memory then follows neither the table nor the setting's default of 10,000 texts.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -69,11 +71,23 @@ def position(df: DataFrame, name: str) -> int:
     return [x.lower() for x in df.columns].index(name.lower())
 
 
+#: Steps after which the driver collects its garbage.
+RELEASE = 3
+_steps = count(1)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, its lineage cut; that folder is set here only if the session has none (tests)."""
+    """df written to the folder in spark.checkpoint.dir, its lineage cut; that folder is set here only if the session has none (tests).
+
+    Spark drops the shuffle files (and checkpoints, if it is set to) of finished steps when the driver collects its garbage, which may be long after: a
+    query of many steps would fill the executors' disks with files that nothing reads any more. So it is asked to every few steps."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    if next(_steps) % RELEASE == 0:
+        gc.collect()
+        context._jvm.System.gc()
+    return out
