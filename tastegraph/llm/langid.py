@@ -31,6 +31,8 @@ BUCKETS = 4096
 MAX_ROWS = 4_000
 #: Rows of each language at least (as far as there are so many), so that many languages aren't learnt from nothing.
 LEAST_ROWS = 8
+#: Languages whose counts (a name and a number each) are broadcast at most; with more the rows are joined in another way.
+BROADCAST_LANGS = 20_000
 #: Lower-cased ASCII letters, bytes of other scripts as they are, everything else 32.
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = _LETTER[65:91] = np.arange(97, 123)
@@ -110,9 +112,16 @@ def fit(docs: DataFrame, learn: Column | None = None, id_column: str = "doc_id",
     rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.select(F.col(lang_column).alias("_lang"), F.col(text_column).alias("_text"), F.xxhash64(F.col(id_column).cast("string")).alias("_order"))
-    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))  # one row for each language; how it is joined follows from its measured size
-    share = max(float(max_rows) / max(1, counts.count()), LEAST_ROWS)
-    sample = rows.join(counts, "_lang").where(F.pmod(F.col("_order"), F.lit(1 << 30)) < F.lit(share * (1 << 30)) / F.col("_n")).select("_lang", "_order", "_text")
+    counts = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    languages = counts.count()
+    share = max(float(max_rows) / max(1, languages), LEAST_ROWS)
+    chosen = F.pmod(F.col("_order"), F.lit(1 << 30)) < F.lit(share * (1 << 30)) / F.col("_n")
+    if languages <= BROADCAST_LANGS:  # counted just now
+        sample = rows.join(F.broadcast(counts), "_lang").where(chosen)
+    else:  # names and hashes meet under the language, texts under their hash: no language's texts are one task
+        wanted = rows.select("_lang", "_order").join(counts, "_lang").where(chosen).select("_lang", "_order").distinct()
+        sample = rows.join(wanted, ["_lang", "_order"])
+    sample = sample.select("_lang", "_order", "_text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
