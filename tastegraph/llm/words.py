@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BLOCK = 256 << 10
 
 _P = 0x9E3779B97F4A7C15 | 1

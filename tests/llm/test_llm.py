@@ -405,12 +405,15 @@ def test_codewords_and_odd_cases(spark, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"} and langid.predict(empty, learnt).count() == 0
 
 
-def test_rare_languages_are_learnt(spark):
+def test_rare_languages_are_learnt(spark, monkeypatch):
     """No language is left out, however many there are."""
     word = lambda k: "".join(chr(97 + (k * 7 + j * (k % 11 + 1)) % 26) for j in range(5))
     docs = [(k * 50 + i, " ".join([word(k), word(k)[::-1]] * 5), f"l{k:03d}") for k in range(60) for i in range(40 if k % 2 else 9)]
-    langs = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), max_rows=100)[0]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    langs, weights, _ = langid.fit(df, max_rows=100)
     assert langs == [f"l{k:03d}" for k in range(60)]
+    monkeypatch.setattr(langid, "BROADCAST_LANGS", 1)
+    assert np.array_equal(langid.fit(df, max_rows=100)[1], weights)
 
 
 # decontamination
