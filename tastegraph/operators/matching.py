@@ -15,18 +15,30 @@ EXACT, NEAR, UNDATED_FILM, UNDATED_ITEM, MISMATCH = "exact title+year", "exact t
 
 
 def title_index(catalogue: DataFrame) -> DataFrame:
-    """key, item, item_year, entries: every key of every item, and how many items answer to that key."""
-    rows = catalogue.select("item", F.col("year").cast("int").alias("item_year"), F.explode(titles.title_variants(F.col("clean_title"))).alias("key"))
-    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("entries")), "key")
+    """key, item, item_year, entries: every key that the catalogue answers to with its years, the least item of each, and how many items (of any year) answer to that key.
+
+    Items of one title and year are one row before keys are worked out: rules choose by key and year, then by the least item, so a title that thousands of
+    items share isn't joined thousands of times."""
+    same = catalogue.groupBy("clean_title", F.col("year").cast("int").alias("item_year")).agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("_n"))
+    rows = same.select("item", "item_year", "_n", F.explode(titles.title_variants(F.col("clean_title"))).alias("key"))
+    years = rows.groupBy("key", "item_year").agg(F.min("item").alias("item"), F.sum("_n").alias("_n"))
+    return years.select("key", "item", "item_year", F.sum("_n").over(Window.partitionBy("key")).alias("entries"))
+
+
+def _each(films: DataFrame, asked: DataFrame) -> DataFrame:
+    """What was found for distinct (title, year) given to every film of that title and year."""
+    found = asked.select(F.col("title").alias("_title"), F.col("year").alias("_year"), "item", "item_year", "method")
+    rows = films.select("film_id", "title", F.col("year").cast("int").alias("year"))
+    return rows.join(found, (F.col("title") == F.col("_title")) & F.col("year").eqNullSafe(F.col("_year"))).select("film_id", "item", "item_year", "method")
 
 
 def match_exact(films: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """film_id, item, item_year, method of films that a rule hits.
+    """film_id, item, item_year, method of films that a rule hits. Films of one title and year are looked up once.
 
     Any rule on the first key beats every rule on the second. Within a key: same year; nearest year in tolerance; no year given and one
     entry; year given and the only entry undated; optionally the only entry whatever its year. Ties go to the least item."""
-    keyed = films.select("film_id", F.col("year").cast("int").alias("year"), F.posexplode(titles.title_keys(F.col("title"))).alias("key_place", "key"))
-    met = keyed.join(index, "key")
+    asked = films.select("title", F.col("year").cast("int").alias("year")).distinct()
+    met = asked.select("title", "year", F.posexplode(titles.title_keys(F.col("title"))).alias("key_place", "key")).join(index, "key")
     delta, one = F.abs(F.col("item_year") - F.col("year")), F.col("entries") == 1
     rule = (
         F.when(delta == 0, 1)
@@ -36,10 +48,10 @@ def match_exact(films: DataFrame, index: DataFrame, config: MatchConfig = MatchC
     )
     if not config.require_year_agreement:
         rule = rule.when(one, 5)
-    best = Window.partitionBy("film_id").orderBy("key_place", "rule", F.coalesce(delta, F.lit(0)), "item")
+    best = Window.partitionBy("title", "year").orderBy("key_place", "rule", F.coalesce(delta, F.lit(0)), "item")
     names = F.element_at(F.array(*[F.lit(x) for x in (EXACT, NEAR, UNDATED_FILM, UNDATED_ITEM, MISMATCH)]), F.col("rule"))
     hits = met.withColumn("rule", rule).where(F.col("rule").isNotNull()).withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    return hits.select("film_id", "item", "item_year", names.alias("method"))
+    return _each(films, hits.withColumn("method", names))
 
 
 def match_fuzzy(films: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -49,7 +61,8 @@ def match_fuzzy(films: DataFrame, index: DataFrame, config: MatchConfig = MatchC
     aren't compared at all. The best token-sort ratio wins if it reaches its threshold (ties: earlier year, then key); otherwise the best
     token-set ratio among keys of the very year."""
     t = config.year_tolerance
-    asked = films.where(F.col("year").isNotNull()).select("film_id", F.col("year").cast("int").alias("year"), F.get(titles.title_keys(F.col("title")), F.lit(0)).alias("asked")).where("asked IS NOT NULL")
+    titled = films.where(F.col("year").isNotNull()).select("title", F.col("year").cast("int").alias("year")).distinct()
+    asked = titled.withColumn("asked", F.get(titles.title_keys(F.col("title")), F.lit(0))).where("asked IS NOT NULL")
     distinct = asked.select("asked", "year").distinct()
     pool = index.where("item_year IS NOT NULL").groupBy("key", "item_year").agg(F.min("item").alias("item"))
     band = distinct.withColumn("item_year", F.explode(F.sequence(F.col("year") - t, F.col("year") + t)))
@@ -72,7 +85,7 @@ def match_fuzzy(films: DataFrame, index: DataFrame, config: MatchConfig = MatchC
         free = hits.join(first, "key").withColumns({"item": F.when(F.col("kind") == 1, F.col("first.item")).otherwise(F.col("item")), "item_year": F.when(F.col("kind") == 1, F.col("first.item_year")).otherwise(F.col("item_year"))})
         hits = free.drop("first")
     name = F.concat(F.when(F.col("kind") == 1, F.lit("fuzzy sort ")).otherwise(F.lit("subset, exact year ")), F.bround("value", 0).cast("int").cast("string"))
-    return asked.join(hits.select("asked", "year", "item", "item_year", name.alias("method")), ["asked", "year"]).select("film_id", "item", "item_year", "method")
+    return _each(films, asked.join(hits.select("asked", "year", "item", "item_year", name.alias("method")), ["asked", "year"]))
 
 
 def match(films: DataFrame, catalogue: DataFrame, config: MatchConfig = MatchConfig(), stats: DataFrame | None = None) -> DataFrame:
