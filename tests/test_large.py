@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tastegraph.operators import matching
+from tastegraph.plans import views
 
 
 def test_a_title_that_many_items_share_is_one_row_of_the_index(spark):
@@ -11,3 +12,12 @@ def test_a_title_that_many_items_share_is_one_row_of_the_index(spark):
     assert {(r.key, r.item_year, r["item"], r.entries) for r in index.collect()} == {("blue ring", None, 0, 500), ("blue ring", 1990, 2, 500), ("blue ring", 1991, 1, 500)} and index.count() == 3
     films = spark.createDataFrame([(1, "blue ring", 1990), (2, "Blue Ring", 1990), (3, "blue ring", 1990), (4, "blue ring", 1992), (5, "blue ring", None), (6, None, 1990)], "film_id long, title string, year int")
     assert {(r.film_id, r["item"], r.item_year, r.method) for r in matching.match_exact(films, index).collect()} == {(k, 2, 1990, matching.EXACT) for k in (1, 2, 3)} | {(4, 1, 1991, matching.NEAR)}
+
+
+def test_a_mean_between_two_ratings_is_summed_in_event_order(spark, tmp_path):
+    """7.94 + 36.4 + 0.66 is just under 45 in this order, and 45 in others."""
+    values = [(0, 7.94), (1, 36.4), (2, 0.66), (3, None)]
+    for k, order in enumerate(([0, 1, 2, 3], [2, 3, 1, 0], [0, 2, 3, 1])):
+        rows = [(values[x][0], 1, '{"k": 5}', values[x][1]) for x in order] + [(9, 2, '{"k": 5}', None)]
+        spark.createDataFrame(rows, "event_id long, user_id long, props string, value double").coalesce(1).write.parquet(f"{tmp_path}/{k}/events.parquet")
+        assert {(r.user, r["item"], r.rating) for r in views.ratings_dense(spark, f"{tmp_path}/{k}").collect()} == {(1, 5, 0.5), (2, 5, 0.5)}
