@@ -48,7 +48,9 @@ def profile(ratings: DataFrame, likes: DataFrame | None = None, reviews: DataFra
     stats: keys, n, mean, sigma_raw, sigma, reference_date, busiest, top_share, warnings (array)."""
     keys = list(keys)
     films = keep_last(ratings.where(F.col("rating").isNotNull()), [*keys, "title", "year"], "ord")
-    spread = F.stddev_pop("rating")
+    # Sums of half stars and of their squares are exact in any order, so a spread of just the floor isn't below it.
+    n, squares = F.count(F.lit(1)), F.sum(F.col("rating") * F.col("rating"))
+    spread = F.sqrt(F.greatest(n * squares - F.sum("rating") * F.sum("rating"), F.lit(0.0))) / n
     stats = films.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("mean"), spread.alias("sigma_raw"), F.greatest(spread, F.lit(config.sigma_floor)).alias("sigma"), F.max("logged_date").alias("reference_date"))
     stats = stats.join(bulk_import(films, keys, config.bulk_share), keys, "left")
     decays = config.recency_half_life_years is not None

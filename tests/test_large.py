@@ -1,8 +1,10 @@
 """What larger tables showed: shared titles, sums in any order, plans that read their input once."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from tastegraph.operators import matching
+from tastegraph.operators import matching, profile
 from tastegraph.plans import views
 
 
@@ -21,3 +23,12 @@ def test_a_mean_between_two_ratings_is_summed_in_event_order(spark, tmp_path):
         rows = [(values[x][0], 1, '{"k": 5}', values[x][1]) for x in order] + [(9, 2, '{"k": 5}', None)]
         spark.createDataFrame(rows, "event_id long, user_id long, props string, value double").coalesce(1).write.parquet(f"{tmp_path}/{k}/events.parquet")
         assert {(r.user, r["item"], r.rating) for r in views.ratings_dense(spark, f"{tmp_path}/{k}").collect()} == {(1, 5, 0.5), (2, 5, 0.5)}
+
+
+def test_a_spread_of_just_the_floor_is_not_below_it(spark):
+    """Eight ratings with a deviation of exactly one half, in 200 orders."""
+    given, shuffled = [1.0, 1.5, 2.0, 2.0, 1.0, 0.5, 1.0, 1.0], random.Random(5)
+    rows = [(u, f"T{k}", 2000, r, None, k) for u in range(200) for k, r in enumerate(shuffled.sample(given, 8))]
+    df = spark.createDataFrame(rows, "user long, title string, year int, rating double, logged_date date, ord long")
+    _, stats = profile.profile(df)
+    assert {(r.sigma_raw, len(r.warnings)) for r in stats.select("sigma_raw", "warnings").collect()} == {(0.5, 1)}  # no dates: the one warning
