@@ -86,7 +86,7 @@ def two_pass_filter(spark, d):
 
 @query
 def dense_index(spark, d):
-    fact = ratings.two_pass_filter(views.ratings_sparse(spark, d), STAGING)
+    fact = staging.cut(ratings.two_pass_filter(staging.cut(views.ratings_sparse(spark, d)), STAGING))
     return ratings.index_ratings(fact)[0]
 
 

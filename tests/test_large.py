@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tastegraph.operators import matching, profile
+from tastegraph.plans import queries as core
 from tastegraph.plans import views
 
 
@@ -32,3 +33,8 @@ def test_a_spread_of_just_the_floor_is_not_below_it(spark):
     df = spark.createDataFrame(rows, "user long, title string, year int, rating double, logged_date date, ord long")
     _, stats = profile.profile(df)
     assert {(r.sigma_raw, len(r.warnings)) for r in stats.select("sigma_raw", "warnings").collect()} == {(0.5, 1)}  # no dates: the one warning
+
+
+def test_dense_index_reads_its_tables_once(spark, sf):
+    plan = core.queries()["dense_index"](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "parquet" not in plan.lower()
