@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tastegraph.operators import matching, profile
+from tastegraph.config import SimilarityConfig
+from tastegraph.operators import matching, profile, similarity
 from tastegraph.plans import queries as core
 from tastegraph.plans import views
 
@@ -38,3 +39,13 @@ def test_a_spread_of_just_the_floor_is_not_below_it(spark):
 def test_dense_index_reads_its_tables_once(spark, sf):
     plan = core.queries()["dense_index"](spark, sf)._jdf.queryExecution().analyzed().toString()
     assert "parquet" not in plan.lower()
+
+
+def test_passes_over_items_give_the_same_neighbours(spark, monkeypatch):
+    rows = [(u, i, 0.5 + (u * 7 + i * i * 3) % 10 / 2) for u in range(40) for i in range(30) if (u * 31 + i * 17) % 5 < 2 or u == 0]
+    fact, config = spark.createDataFrame(rows, "user long, item long, rating double"), SimilarityConfig(shrinkage_lambda=2.0, top_k_neighbours=7)
+    found = lambda: {(r.i, r.j): (round(r.sim, 9), r.n_co) for r in similarity.build(fact, config).collect()}
+    want = found()
+    monkeypatch.setattr(similarity, "PASS", 200)
+    monkeypatch.setattr(similarity, "BLOCK", 20)  # user 0 has two blocks, the others one
+    assert similarity._passes(fact) == 5 and found() == want
