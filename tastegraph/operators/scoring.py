@@ -22,12 +22,23 @@ def input_values(rated: DataFrame, stats: DataFrame, config: ScoringConfig = Sco
     return with_mean.withColumn("value", F.col("z") - F.coalesce("_zm", F.lit(0.0))).drop("_zm")
 
 
-def evidence(rated: DataFrame, edges: DataFrame, keys: Sequence[str] = ("user",)) -> DataFrame:
-    """keys, item, num, den, n_neighbours: what a user's ratings say about every item that they reach. Needs ``value``."""
+def evidence(rated: DataFrame, edges: DataFrame, keys: Sequence[str] = ("user",), known: DataFrame | None = None) -> DataFrame:
+    """keys, item, num, den, n_neighbours: what a user's ratings say about every item that they reach. Needs ``value``.
+
+    Every rating meets the edges of its item. Ratings are dealt by keys before that, so that with edges small enough to be broadcast (written ones: Spark knows
+    their size) each user's sums are made where the ratings are, and the many rows between are never shuffled.
+
+    ``known`` (item): of these, items that the user rated are left out, by an edge of each item to itself that marks them."""
     w = F.coalesce(F.col("weight"), F.lit(1.0)) if "weight" in rated.columns else F.lit(1.0)
-    left = rated.select(*keys, F.col("item").alias("i"), "value", w.alias("w"))
-    met = left.join(edges.select("i", F.col("j").alias("item"), "sim"), "i")
-    return met.groupBy(*keys, "item").agg(F.sum(F.col("sim") * F.col("value") * F.col("w")).alias("num"), F.sum(F.abs("sim") * F.col("w")).alias("den"), F.count(F.lit(1)).cast("int").alias("n_neighbours"))
+    left = rated.select(*keys, F.col("item").alias("i"), "value", w.alias("w")).repartition(*keys)
+    into = edges.select("i", F.col("j").alias("item"), "sim", F.lit(1).alias("_said"))
+    if known is not None:
+        into = into.unionByName(known.select(F.col("item").alias("i"), "item", F.lit(None).cast("double").alias("sim"), F.lit(None).cast("int").alias("_said")))
+    met = left.join(into, "i")
+    sums = [F.sum(F.col("sim") * F.col("value") * F.col("w")).alias("num"), F.sum(F.abs("sim") * F.col("w")).alias("den"), F.count("_said").cast("int").alias("n_neighbours")]
+    if known is None:
+        return met.groupBy(*keys, "item").agg(*sums)
+    return met.groupBy(*keys, "item").agg(*sums, F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("n_neighbours")).drop("_n")
 
 
 def median_popularity(stats: DataFrame) -> DataFrame:
@@ -35,17 +46,18 @@ def median_popularity(stats: DataFrame) -> DataFrame:
     return stats.where("n_ratings > 0").agg(F.median("n_ratings").alias("median_n"))
 
 
-def candidates(rated: DataFrame, found: DataFrame, stats: DataFrame, exclude: DataFrame | None, keys: Sequence[str] = ("user",), every: bool = True) -> DataFrame:
+def candidates(rated: DataFrame | None, found: DataFrame, stats: DataFrame, exclude: DataFrame | None, keys: Sequence[str] = ("user",), every: bool = True) -> DataFrame:
     """keys, item, num, den, n_neighbours of all items that may be offered: not rated, not excluded.
 
     ``every``: items without any evidence too (den 0), as users x catalogue rows, which is what full rankings need. Otherwise only
-    reached items, which are all that can pass a support floor above 0; use that at scale."""
+    reached items, which are all that can pass a support floor above 0; use that at scale. ``rated`` None: found has no rated items, as ``evidence`` makes it."""
     keys = list(keys)
     if every:
         users = rated.select(*keys).distinct()
         pool = users.join(stats.select("item"))  # each user's candidate list is the catalogue
         found = pool.join(found, [*keys, "item"], "left")
-    found = found.join(rated.select(*keys, "item").distinct(), [*keys, "item"], "left_anti")
+    if rated is not None:
+        found = found.join(rated.select(*keys, "item"), [*keys, "item"], "left_anti")
     if exclude is not None:
         found = found.join(exclude, [k for k in keys if k in exclude.columns] + ["item"], "left_anti")
     return found.withColumns({"num": F.coalesce("num", F.lit(0.0)), "den": F.coalesce("den", F.lit(0.0)), "n_neighbours": F.coalesce("n_neighbours", F.lit(0))})
@@ -75,8 +87,12 @@ def scored(pool: DataFrame, stats: DataFrame, config: ScoringConfig = ScoringCon
 
 
 def score(rated: DataFrame, edges: DataFrame, stats: DataFrame, config: ScoringConfig = ScoringConfig(), exclude: DataFrame | None = None, keys: Sequence[str] = ("user",), every: bool = True) -> DataFrame:
-    found = evidence(input_values(rated, stats, config), edges, keys)
-    return scored(candidates(rated, found, stats, exclude, keys, every), stats, config, keys)
+    values = input_values(rated, stats, config)
+    if every:
+        pool = candidates(rated, evidence(values, edges, keys), stats, exclude, keys)
+    else:  # items outside stats, rated or not, leave in ``scored``
+        pool = candidates(None, evidence(values, edges, keys, stats.select("item").distinct()), stats, exclude, keys, False)
+    return scored(pool, stats, config, keys)
 
 
 def rank(df: DataFrame, keys: Sequence[str], by: str, output: str, fill: float | None = None) -> DataFrame:
@@ -92,8 +108,10 @@ def explain(rated: DataFrame, edges: DataFrame, stats: DataFrame, wanted: DataFr
     keys = list(keys)
     values = input_values(rated, stats, config)
     value = F.col("value") * (F.coalesce(F.col("weight"), F.lit(1.0)) if weighted and "weight" in rated.columns else F.lit(1.0))
-    into = edges.select(F.col("i").alias("item"), F.col("j").alias("candidate"), "sim").join(wanted.select(F.col("item").alias("candidate")).distinct(), "candidate", "left_semi")
-    said = values.select(*keys, "item", value.alias("value")).join(into, "item").join(wanted.select(*keys, F.col("item").alias("candidate")), [*keys, "candidate"], "left_semi")
+    # a user's ratings meet that user's few wanted items first, and then the edges: not every edge of every rating
+    asked = wanted.select(*keys, F.col("item").alias("candidate")).distinct()
+    into = edges.select(F.col("i").alias("item"), F.col("j").alias("candidate"), "sim")
+    said = values.select(*keys, "item", value.alias("value")).join(asked, keys).join(into, ["item", "candidate"])
     said = said.withColumn("contribution", F.col("sim") * F.col("value"))
     order = Window.partitionBy(*keys, "candidate").orderBy(F.desc(F.round(F.abs("contribution"), 9)), "item")
     return said.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select(*keys, "candidate", "item", "contribution", "place")

@@ -58,7 +58,7 @@ def recommend(rated: DataFrame, edges: DataFrame, stats: DataFrame, items: DataF
         if shown.dedupe_against_seen and seen is not None:
             started = presentation.seen_works(seen.join(items.select("item", "_bases"), "item"))
         kept = presentation.diversify(found, n, shown, started)
-    kept = scoring.rank(kept, ["user"], "rank_score", "place")
+    kept = staging.written(scoring.rank(kept, ["user"], "rank_score", "place"))  # read twice below
     why = presentation.because(scoring.explain(rated, edges, stats, kept, 12, config), items)
     kept = kept.join(why.withColumnRenamed("candidate", "item"), ["user", "item"], "left")
     extra = []
@@ -71,7 +71,7 @@ def recommend(rated: DataFrame, edges: DataFrame, stats: DataFrame, items: DataF
 def sections(rated: DataFrame, edges: DataFrame, stats: DataFrame, items: DataFrame, modes: Sequence[tuple[str, Mode]], n: int = 5, seen: DataFrame | None = None, shown: PresentationConfig | None = PresentationConfig()) -> DataFrame:
     """user, section, place, item, clean_title: one list after another, each without what an earlier one offered to that user. Each list is written before the
     next one reads it, so that plans don't grow with their number."""
-    out, items = None, staging.cut(presentation.keyed(items))
+    out, items = None, items if "_work" in items.columns else staging.cut(presentation.keyed(items))
     for name, mode in modes:
         before = None if out is None else out.select("user", "item").distinct()
         one = staging.cut(recommend(rated, edges, stats, items, mode, n, seen, shown=shown, offered_before=before).select("user", F.lit(name).alias("section"), "place", "item", "clean_title"))

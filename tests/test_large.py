@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tastegraph.config import SimilarityConfig
-from tastegraph.operators import matching, profile, similarity
+from tastegraph.operators import matching, profile, scoring, similarity
 from tastegraph.plans import queries as core
 from tastegraph.plans import views
 
@@ -49,3 +49,24 @@ def test_passes_over_items_give_the_same_neighbours(spark, monkeypatch):
     monkeypatch.setattr(similarity, "PASS", 200)
     monkeypatch.setattr(similarity, "BLOCK", 20)  # user 0 has two blocks, the others one
     assert similarity._passes(fact) == 5 and found() == want
+
+
+def test_evidence_is_summed_where_the_ratings_are(spark, tmp_path):
+    """Ratings x edges rows aren't shuffled when the edges are a small table; without the grid, rated items leave without a join."""
+    rows = [(u, i, ((u * 7 + i * 3) % 11 - 5) / 3) for u in range(30) for i in range(20) if (u + i * i) % 3]
+    pairs = [(i, j, ((i * 5 + j * 3) % 9 - 4) / 10) for i in range(20) for j in range(20) if i != j and (i + j) % 4]
+    tables = {"rated": (rows, "user long, item long, z double"), "edges": (pairs, "i long, j long, sim double"), "stats": ([(i, 9, 3.0, i / 50) for i in range(20)], "item long, n_ratings int, mean_rating double, z_mean double")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}")
+    rated, edges, stats = (spark.read.parquet(f"{tmp_path}/{name}") for name in tables)
+    found = scoring.evidence(scoring.input_values(rated, stats), edges)
+    dealt = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+    assert len(dealt) == 1 and "item" not in dealt[0].split("hashpartitioning")[1].split(")")[0]
+    got = {(r.user, r["item"]): (round(r.support, 9), r.n_neighbours) for r in scoring.score(rated, edges, stats, every=False).collect()}
+    mine, want = {(u, i) for u, i, _ in rows}, {}
+    for u, i, _ in rows:
+        for a, j, sim in pairs:
+            if a == i and (u, j) not in mine:
+                den, n = want.get((u, j), (0.0, 0))
+                want[u, j] = den + abs(sim), n + 1
+    assert got == {k: (round(den, 9), n) for k, (den, n) in want.items()}
