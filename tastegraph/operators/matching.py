@@ -5,7 +5,7 @@ films: any columns with film_id (a unique row id), title, year. catalogue: item,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
@@ -25,19 +25,39 @@ def title_index(catalogue: DataFrame) -> DataFrame:
     return years.select("key", "item", "item_year", F.sum("_n").over(Window.partitionBy("key")).alias("entries"))
 
 
-def _each(films: DataFrame, asked: DataFrame) -> DataFrame:
-    """What was found for distinct (title, year) given to every film of that title and year."""
-    found = asked.select(F.col("title").alias("_title"), F.col("year").alias("_year"), "item", "item_year", "method")
-    rows = films.select("film_id", "title", F.col("year").cast("int").alias("year"))
-    return rows.join(found, (F.col("title") == F.col("_title")) & F.col("year").eqNullSafe(F.col("_year"))).select("film_id", "item", "item_year", "method")
+def asked_titles(films: DataFrame) -> DataFrame:
+    """title, year: what films ask for, each once."""
+    return films.select("title", F.col("year").cast("int").alias("year")).distinct()
+
+
+def _same(found: DataFrame) -> tuple[DataFrame, Column]:
+    """(what was found, under other names for title and year; the condition that it is about a row's title and year)."""
+    named = found.withColumnsRenamed({"title": "_title", "year": "_year"})
+    return named, (F.col("title") == F.col("_title")) & F.col("year").cast("int").eqNullSafe(F.col("_year"))
+
+
+def each(films: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    """films with item, item_year and method of their title and year; with ``how="inner"`` those that have one."""
+    named, same = _same(found)
+    return films.join(named, same, how).drop("_title", "_year")
+
+
+def left_over(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Titles and years for which nothing was found."""
+    named, same = _same(found.select("title", "year"))
+    return asked.join(named, same, "left_anti")
 
 
 def match_exact(films: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """film_id, item, item_year, method of films that a rule hits. Films of one title and year are looked up once.
+    """film_id, item, item_year, method of films that a rule hits. Films of one title and year are looked up once."""
+    return each(films, exact_titles(asked_titles(films), index, config), "inner").select("film_id", "item", "item_year", "method")
+
+
+def exact_titles(asked: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """title, year, item, item_year, method of titles and years that a rule hits.
 
     Any rule on the first key beats every rule on the second. Within a key: same year; nearest year in tolerance; no year given and one
     entry; year given and the only entry undated; optionally the only entry whatever its year. Ties go to the least item."""
-    asked = films.select("title", F.col("year").cast("int").alias("year")).distinct()
     met = asked.select("title", "year", F.posexplode(titles.title_keys(F.col("title"))).alias("key_place", "key")).join(index, "key")
     delta, one = F.abs(F.col("item_year") - F.col("year")), F.col("entries") == 1
     rule = (
@@ -51,18 +71,22 @@ def match_exact(films: DataFrame, index: DataFrame, config: MatchConfig = MatchC
     best = Window.partitionBy("title", "year").orderBy("key_place", "rule", F.coalesce(delta, F.lit(0)), "item")
     names = F.element_at(F.array(*[F.lit(x) for x in (EXACT, NEAR, UNDATED_FILM, UNDATED_ITEM, MISMATCH)]), F.col("rule"))
     hits = met.withColumn("rule", rule).where(F.col("rule").isNotNull()).withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    return _each(films, hits.withColumn("method", names))
+    return hits.select("title", "year", "item", "item_year", names.alias("method"))
 
 
 def match_fuzzy(films: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """film_id, item, item_year, method of dated films whose first key is like a catalogue key of a near year.
+    """film_id, item, item_year, method of dated films whose first key is like a catalogue key of a near year."""
+    return each(films, fuzzy_titles(asked_titles(films), index, config), "inner").select("film_id", "item", "item_year", "method")
+
+
+def fuzzy_titles(titled: DataFrame, index: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """title, year, item, item_year, method of dated titles (title, year, each once) whose first key is like a catalogue key of a near year.
 
     The band of years is exploded into an equi-join, each distinct pair of keys is compared once, and pairs whose lengths exclude the threshold
     aren't compared at all. The best token-sort ratio wins if it reaches its threshold (ties: earlier year, then key); otherwise the best
     token-set ratio among keys of the very year."""
     t = config.year_tolerance
-    titled = films.where(F.col("year").isNotNull()).select("title", F.col("year").cast("int").alias("year")).distinct()
-    asked = titled.withColumn("asked", F.get(titles.title_keys(F.col("title")), F.lit(0))).where("asked IS NOT NULL")
+    asked = titled.where(F.col("year").isNotNull()).withColumn("asked", F.get(titles.title_keys(F.col("title")), F.lit(0))).where("asked IS NOT NULL")
     distinct = asked.select("asked", "year").distinct()
     pool = index.where("item_year IS NOT NULL").groupBy("key", "item_year").agg(F.min("item").alias("item"))
     band = distinct.withColumn("item_year", F.explode(F.sequence(F.col("year") - t, F.col("year") + t)))
@@ -85,16 +109,25 @@ def match_fuzzy(films: DataFrame, index: DataFrame, config: MatchConfig = MatchC
         free = hits.join(first, "key").withColumns({"item": F.when(F.col("kind") == 1, F.col("first.item")).otherwise(F.col("item")), "item_year": F.when(F.col("kind") == 1, F.col("first.item_year")).otherwise(F.col("item_year"))})
         hits = free.drop("first")
     name = F.concat(F.when(F.col("kind") == 1, F.lit("fuzzy sort ")).otherwise(F.lit("subset, exact year ")), F.bround("value", 0).cast("int").cast("string"))
-    return _each(films, asked.join(hits.select("asked", "year", "item", "item_year", name.alias("method")), ["asked", "year"]))
+    return asked.join(hits.select("asked", "year", "item", "item_year", name.alias("method")), ["asked", "year"]).select("title", "year", "item", "item_year", "method")
+
+
+def found_titles(films: DataFrame, catalogue: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """title, year, item, item_year, method of what films ask for and the catalogue has: exact rules, then the fuzzy pass for the rest. It has at most a row for
+    each different title and year, so it is worth writing before films are joined with it."""
+    index, asked = title_index(catalogue), asked_titles(films)
+    exact = exact_titles(asked, index, config)
+    return exact.unionByName(fuzzy_titles(left_over(asked, exact), index, config))
 
 
 def match(films: DataFrame, catalogue: DataFrame, config: MatchConfig = MatchConfig(), stats: DataFrame | None = None) -> DataFrame:
     """films with item, item_year (-9999 for an undated item), method and, with stats, n_ratings, mean_rating and residual; unmatched rows have nulls."""
-    index = title_index(catalogue)
-    exact = match_exact(films, index, config)
-    rest = films.join(exact.select("film_id"), "film_id", "left_anti")
-    hits = exact.unionByName(match_fuzzy(rest, index, config))
-    out = films.join(hits, "film_id", "left").withColumn("item_year", F.when(F.col("item").isNotNull(), F.coalesce("item_year", F.lit(-9999))))
+    return matched(films, found_titles(films, catalogue, config), stats)
+
+
+def matched(films: DataFrame, found: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """``match`` from what ``found_titles`` made."""
+    out = each(films, found).withColumn("item_year", F.when(F.col("item").isNotNull(), F.coalesce("item_year", F.lit(-9999))))
     if stats is not None:
         out = out.join(stats.select("item", "n_ratings", "mean_rating"), "item", "left")
         if "rating" in films.columns:
@@ -122,6 +155,6 @@ def profile_line(matched: DataFrame, top: int = 3, width: int = 30) -> DataFrame
 
 def report(matched: DataFrame) -> DataFrame:
     """method, n, share: how films were matched (``unmatched`` for the rest)."""
-    total = matched.agg(F.count(F.lit(1)).alias("total"))
     by = matched.groupBy(F.coalesce("method", F.lit("unmatched")).alias("method")).agg(F.count(F.lit(1)).alias("n"))
+    total = by.agg(F.sum("n").alias("total"))
     return by.join(F.broadcast(total)).select("method", "n", (F.col("n") / F.col("total")).alias("share"))

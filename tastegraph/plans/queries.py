@@ -344,8 +344,9 @@ def match_legacy(spark, d):
 
 def _fuzzy(spark, d) -> DataFrame:
     index, films = matching.title_index(views.catalogue(spark, d)), views.films(spark, d)
-    rest = films.join(matching.match_exact(films, index).select("film_id"), "film_id", "left_anti")
-    return matching.match_fuzzy(rest, index)
+    asked = matching.asked_titles(films)
+    found = staging.written(matching.fuzzy_titles(matching.left_over(asked, matching.exact_titles(asked, index)), index))
+    return matching.each(films, found, "inner").select("film_id", "item", "item_year", "method")
 
 
 @query

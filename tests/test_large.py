@@ -18,6 +18,17 @@ def test_a_title_that_many_items_share_is_one_row_of_the_index(spark):
     assert {(r.film_id, r["item"], r.item_year, r.method) for r in matching.match_exact(films, index).collect()} == {(k, 2, 1990, matching.EXACT) for k in (1, 2, 3)} | {(4, 1, 1991, matching.NEAR)}
 
 
+def test_what_titles_match_is_found_once_for_each_title_and_year(spark):
+    catalogue = spark.createDataFrame([(1, "Blue Ring", 1990), (2, "Blue Ring", 1990), (3, "Old Anvil", None)], "item long, clean_title string, year int")
+    asked = [("Blue Ring", 1990), ("Blue Rings", 1990), ("Old Anvil", None), ("Nothing", 1990), (None, 1990), ("Blue Ring", None)]
+    films = spark.createDataFrame([(k, *asked[k % 6], 0.5 + k % 10 / 2) for k in range(60)], "film_id long, title string, year int, rating double")
+    found = {(r.title, r.year): (r["item"], r.item_year, r.method) for r in matching.found_titles(films, catalogue).collect()}
+    assert found == {("Blue Ring", 1990): (1, 1990, matching.EXACT), ("Blue Rings", 1990): (1, 1990, "fuzzy sort 95"), ("Old Anvil", None): (3, None, matching.UNDATED_FILM)}
+    rows = matching.match(films, catalogue).collect()
+    none = (None, None, None)
+    assert len(rows) == 60 and all((r["item"], r.method) == found.get((r.title, r.year), none)[::2] and r.item_year == (-9999 if r["item"] == 3 else found.get((r.title, r.year), none)[1]) for r in rows)
+
+
 def test_a_mean_between_two_ratings_is_summed_in_event_order(spark, tmp_path):
     """7.94 + 36.4 + 0.66 is just under 45 in this order, and 45 in others."""
     values = [(0, 7.94), (1, 36.4), (2, 0.66), (3, None)]
