@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tastegraph.config import SimilarityConfig
@@ -29,6 +30,11 @@ def test_what_titles_match_is_found_once_for_each_title_and_year(spark):
     assert len(rows) == 60 and all((r["item"], r.method) == found.get((r.title, r.year), none)[::2] and r.item_year == (-9999 if r["item"] == 3 else found.get((r.title, r.year), none)[1]) for r in rows)
 
 
+@pytest.mark.parametrize("name", ["match_report", "profile_line", "watchlist_match"])
+def test_how_films_are_matched_needs_no_ratings(spark, sf, name):
+    assert not [x for x in core.queries()[name](spark, sf).inputFiles() if "lineitem" in x or "orders" in x]
+
+
 def test_a_mean_between_two_ratings_is_summed_in_event_order(spark, tmp_path):
     """7.94 + 36.4 + 0.66 is just under 45 in this order, and 45 in others."""
     values = [(0, 7.94), (1, 36.4), (2, 0.66), (3, None)]
