@@ -35,6 +35,12 @@ def test_how_films_are_matched_needs_no_ratings(spark, sf, name):
     assert not [x for x in core.queries()[name](spark, sf).inputFiles() if "lineitem" in x or "orders" in x]
 
 
+def test_ratings_of_other_items_leave_before_they_are_joined(spark, sf):
+    plan = core.queries()["match_films"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda text: [k for k, x in enumerate(plan) if text in x]
+    assert len(at("LeftSemi")) == 1 and at("Join Inner")[0] < at("LeftSemi")[0] < at("l_orderkey")[-1]
+
+
 def test_a_mean_between_two_ratings_is_summed_in_event_order(spark, tmp_path):
     """7.94 + 36.4 + 0.66 is just under 45 in this order, and 45 in others."""
     values = [(0, 7.94), (1, 36.4), (2, 0.66), (3, None)]
