@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import COMPARE, MODES, SWEEP, EvalConfig, MatchConfig, PresentationConfig, ProfileConfig, ScoringConfig, SimilarityConfig, StagingConfig
@@ -40,7 +40,15 @@ def oracle_sql() -> dict[str, str]:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
+    """Doubles to six places. A zero keeps the sign of what was rounded, as it does in SQL engines that round in floating point (Spark goes by decimals, which have
+    no negative zero): equal as a number, but not as a text."""
+    kinds = dict(df.dtypes)
+
+    def six(c: str) -> Column:
+        value = F.round(F.col(c), 6)
+        return F.when(value == 0, F.col(c) * F.lit(0.0)).otherwise(value) if kinds[c] == "double" else value
+
+    return df.withColumns({c: six(c) for c in columns})
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:

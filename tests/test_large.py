@@ -50,6 +50,13 @@ def test_a_mean_between_two_ratings_is_summed_in_event_order(spark, tmp_path):
         assert {(r.user, r["item"], r.rating) for r in views.ratings_dense(spark, f"{tmp_path}/{k}").collect()} == {(1, 5, 0.5), (2, 5, 0.5)}
 
 
+def test_a_rounded_zero_keeps_its_sign(spark):
+    given = [-0.0000001, 0.0000001, -0.0, 0.0, -0.0000006, 1.25, None, float("nan"), float("-inf")]
+    df = spark.createDataFrame([(k, v, k) for k, v in enumerate(given)], "k int, v double, n long")
+    found = [str(r.v) for r in core.rounded(df, "v", "n").orderBy("k").collect()]
+    assert found == ["-0.0", "0.0", "-0.0", "0.0", "-1e-06", "1.25", "None", "nan", "-inf"] and core.rounded(df, "v", "n").dtypes == df.dtypes
+
+
 def test_a_spread_of_just_the_floor_is_not_below_it(spark):
     """Eight ratings with a deviation of exactly one half, in 200 orders."""
     given, shuffled = [1.0, 1.5, 2.0, 2.0, 1.0, 0.5, 1.0, 1.0], random.Random(5)
